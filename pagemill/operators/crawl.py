@@ -12,26 +12,30 @@ from .joins import salted_join
 MERGE_EVERY = 8
 
 
-def _numbered(ordered: DataFrame, start: int, name: str) -> DataFrame:
-    """Store ``ordered`` sorted by ``order_key`` and number its rows from ``start`` + 1.
+def _numbered(marked: DataFrame, start: int) -> tuple[DataFrame, DataFrame, int]:
+    """Number the ``live`` rows in order of ``order_key``, from ``start`` + 1.
 
-    The sort splits the rows into ranges.  Each range is numbered for itself and then moved by the
-    rows before it; only one count per range is gathered, never the rows.
+    The sort splits the rows into ranges, which are stored.  Each range is numbered for itself and
+    then moved by the live rows before it; only one count per range comes to the driver.
     """
-    ranged = ordered.sort("order_key").withColumn("part", F.spark_partition_id())
-    kept = stored(ranged, name)
-    sizes = kept.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select(
-        "part",
-        (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"),
+    spark = marked.sparkSession
+    kept = stored(
+        marked.sort("order_key").withColumn("part", F.spark_partition_id()), "crawl-round"
     )
+    sizes = kept.groupBy("part").agg(F.count_if("live").alias("live")).collect()
+    before, lives = [], 0
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        before.append((r["part"], start + lives))
+        lives += r["live"]
     within = Window.partitionBy("part").orderBy("order_key")
-    return (
-        kept.withColumn("at", F.row_number().over(within))
-        .join(before, "part")
-        .withColumn("visit_no", F.col("at") + F.col("before") + F.lit(start))
-        .drop("part", "at", "before", "order_key")
+    moves = spark.createDataFrame(before, "part int, before bigint")
+    numbered = (
+        kept.where("live")
+        .withColumn("at", F.row_number().over(within))
+        .join(moves, "part")
+        .select("url", (F.col("at") + F.col("before")).alias("visit_no"))
     )
+    return kept, numbered, lives
 
 
 def crawl(
@@ -60,6 +64,7 @@ def crawl(
     ).where(F.col("url").startswith("http://") | F.col("url").startswith("https://"))
     if same_host:
         links = links.where(url_netloc(F.col("url")) == host)
+    links = stored(links, "crawl-links")
     live = fetched.select(url_norm(F.col("url")).alias("url")).distinct()
     if disallowed is not None:
         barred = disallowed.select(url_norm(F.col("url")).alias("url")).distinct()
@@ -74,23 +79,19 @@ def crawl(
     rounds: list[DataFrame] = []
     seen: list[DataFrame] = []
     depth, total = 0, 0
+    live = stored(live.withColumn("live", F.lit(True)), "crawl-live")
     while total < max_pages:
-        fresh = stored(fresh, "crawl-new")
-        if fresh.isEmpty():
-            break
-        seen.append(fresh.select("url"))
-        if len(seen) > MERGE_EVERY:
-            seen = [stored(_union(seen), "crawl-seen")]
-        visited = _numbered(fresh.join(live, "url", "left_semi"), total, "crawl-round")
-        visited = visited.where(F.col("visit_no") <= max_pages)
-        visited = stored(visited.withColumn("depth", F.lit(depth)), "crawl-visited")
-        count = visited.count()
-        if count == 0:
+        marked = fresh.join(live, "url", "left").withColumn("live", F.col("live").isNotNull())
+        kept, visited, found = _numbered(marked, total)
+        if found == 0:
             break
+        visited = visited.where(F.col("visit_no") <= max_pages).withColumn("depth", F.lit(depth))
+        seen.append(kept.select("url"))
         rounds.append(visited)
         if len(rounds) > MERGE_EVERY:
+            seen = [stored(_union(seen), "crawl-seen")]
             rounds = [stored(_union(rounds), "crawl-rounds")]
-        total, depth = total + count, depth + 1
+        total, depth = total + found, depth + 1
         parents = visited.select(F.col("url").alias("src_url"), F.col("visit_no").alias("parent"))
         fresh = (
             salted_join(links, parents, "src_url", "inner")

@@ -32,12 +32,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def json_documents(df: DataFrame, group: str = "page_id") -> DataFrame:
-    """One JSON array per page, for readers that want arrays and not lines."""
-    rows = F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    return df.groupBy(group).agg(rows.alias("document"))
-
-
 def run_documents(extracted: DataFrame) -> DataFrame:
     """One JSON document per page with all its families; a document never grows past its page."""
     parts = [F.col(c) for c in ("items", "links", "images", "headings", "issues", "tables")]

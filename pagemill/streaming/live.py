@@ -16,9 +16,13 @@ from ..schemas import PAGE
 from ..session import new_folder
 
 
-def stream_pages(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
-    """Stream of the page files that arrive under ``path``."""
-    return spark.readStream.schema(schema).parquet(path)
+def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*") -> DataFrame:
+    """Stream of the parquet files that arrive in a folder under a name of the given pattern."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+
+
+def stream_pages(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    return stream_files(spark, folder, PAGE, pattern)
 
 
 def stream_extract(pages: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:

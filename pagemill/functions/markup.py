@@ -5,6 +5,7 @@
     pos     position in the page, from 0
     tag     'a' open, '/a' close, '' text, '!' comment or declaration
     raw     decoded text of a text token, '' otherwise
+    txt     its ``clean_string``; null for other tokens and for white space
     attrs   map of attributes of an open tag (first of a repeated name wins)
     cls     class names joined by one blank
     end     last position inside the element (its own position for text and void elements)
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reused
-from .text import WHITESPACE, clean, html_unescape, let
+from .text import WHITESPACE, clean, clean_string, html_unescape, let
 
 # Inside of a tag: a quote counts only after '='.  The loop is possessive, so it does not recurse.
 TAG_REST = r"""(?:[^>"'=]++|=\s*"[^"]*"|=\s*'[^']*'|=|"|')*+"""
@@ -242,7 +243,8 @@ def cut_column() -> Column:
 
     def with_class(t: Column) -> Column:
         cls = F.coalesce(F.array_join(class_list(t.attrs["class"]), " "), F.lit(""))
-        return F.struct(t.tag, t.raw, t.attrs, cls.alias("cls"))
+        txt = F.when(t.tag == "", clean_string(t.raw))
+        return F.struct(t.tag, t.raw, txt.alias("txt"), t.attrs, cls.alias("cls"))
 
     return F.transform(
         F.transform(F.transform(raw_tokens(F.col("html")), typed), with_attrs), with_class
@@ -256,7 +258,7 @@ def paired_column() -> Column:
     def merged(t: Column, i: Column) -> Column:
         places = ("end", "parent", "depth", "nth", "same")
         at = [F.get(F.col("tree")[n], i).alias(n) for n in places]
-        return F.struct(i.cast("int").alias("pos"), t.tag, t.raw, t.attrs, t.cls, *at)
+        return F.struct(i.cast("int").alias("pos"), t.tag, t.raw, t.txt, t.attrs, t.cls, *at)
 
     return F.transform("cut", merged)
 
@@ -280,12 +282,14 @@ def inside(tokens: Column, t: Column, base=0) -> Column:
 
 
 def strings(tokens: Column) -> Column:
-    return F.transform(F.filter(tokens, lambda t: t.tag == ""), lambda t: t.raw)
+    """Cleaned strings, each text token by itself."""
+    return F.transform(F.filter(tokens, lambda t: t.txt.isNotNull()), lambda t: F.trim(t.txt))
 
 
 def text_of(tokens: Column) -> Column:
     """Cleaned text of all strings in ``tokens``, joined by a blank."""
-    return clean(F.array_join(strings(tokens), " "))
+    texts = F.transform(F.filter(tokens, lambda t: t.txt.isNotNull()), lambda t: t.txt)
+    return F.trim(F.array_join(texts, " "))
 
 
 def attr(t: Column, name: str) -> Column:

@@ -19,9 +19,11 @@ GENERIC_LABEL = (
 )
 SEVERITIES = ["High", "Medium", "Low"]
 
+DIGIT = r"\p{Nd}"
+
 # White space as str.split() knows it; Java's \s is ASCII only.
 WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-NOT_PRINTABLE = r"[\p{C}\p{Zl}\p{Zp}]"
+NOT_PRINTABLE = r"\p{C}"  # line and paragraph separators are white space
 ENTITY_PIECES = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"
 
 
@@ -30,22 +32,49 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _unusual(t: Column) -> Column:
+    """Does the text hold more than printable ASCII set apart by single blanks?  The test is one
+    range per character, far cheaper than the classes below."""
+    return t.rlike("[^ -~]") | t.contains("  ")
+
+
 def collapse_ws(t: Column) -> Column:
-    return F.trim(F.regexp_replace(t, WHITESPACE + "+", " "))
+    def slow(t: Column) -> Column:
+        return F.regexp_replace(t, WHITESPACE + "+", " ")
+
+    return let(t, lambda t: F.trim(F.when(_unusual(t), slow(t)).otherwise(t)))
 
 
 def strip_ws(t: Column) -> Column:
     return F.regexp_replace(t, rf"^{WHITESPACE}+|{WHITESPACE}+\z", "")
 
 
+def clean_string(t: Column) -> Column:
+    """White space collapsed, then unprintable characters dropped, but blanks beside those kept;
+    null when there is only white space.  ``clean`` of strings joined by a blank is the trimmed
+    join of their ``clean_string``."""
+    def collapsed(t: Column) -> Column:
+        return F.when(t != "", F.when(t.rlike("[^ -~]"), F.regexp_replace(t, NOT_PRINTABLE, "")).otherwise(t))
+
+    return let(collapse_ws(t), collapsed)
+
+
 def clean(t: Column) -> Column:
     """Collapse white space, drop unprintable characters, strip."""
-    return F.trim(F.regexp_replace(F.regexp_replace(t, WHITESPACE + "+", " "), NOT_PRINTABLE, ""))
+    return F.trim(F.coalesce(clean_string(t), F.lit("")))
+
+
+def first_price(t: Column) -> Column:
+    """First price in the text as it stands, or ''.  Most texts have no digit and skip the search."""
+    return F.when(t.rlike(DIGIT), F.regexp_extract(t, "(?iU)" + PRICE, 0)).otherwise("")
+
+
+def has_price(t: Column) -> Column:
+    return F.when(t.rlike(DIGIT), t.rlike("(?iU)" + PRICE)).otherwise(False)
 
 
 def price(t: Column) -> Column:
-    """First price in the text, or ''."""
-    return F.trim(F.regexp_extract(t, "(?iU)" + PRICE, 0))
+    return F.trim(first_price(t))
 
 
 def price_amount(t: Column) -> Column:
@@ -95,8 +124,9 @@ def selector_class_suffix(classes: Column) -> Column:
     return F.array_join(F.transform(valid, lambda c: F.concat(F.lit("."), c)), "")
 
 
-def ordered_distinct_text(strings: Column, sep: str = " | ", cap: int = 400) -> Column:
-    cleaned = F.filter(F.transform(strings, clean), lambda s: s != "")
+def ordered_distinct_text(cleaned: Column, sep: str = " | ", cap: int = 400) -> Column:
+    """Distinct non-empty texts in order of first use, joined and cut; the texts must be clean."""
+    cleaned = F.filter(cleaned, lambda s: s != "")
     return truncate(F.array_join(F.array_distinct(cleaned), sep), cap)
 
 

@@ -21,8 +21,8 @@ from ..functions.markup import (
 )
 from ..functions.selectors import matcher, select, select_one
 from ..functions.text import (
-    PRICE,
-    clean,
+    first_price,
+    has_price,
     is_generic_label,
     let,
     ordered_distinct_text,
@@ -44,7 +44,7 @@ NEXT_TEXT = [
 ]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 AUTO = "auto"
-NO_TOKENS = "array<struct<pos:int,tag:string,raw:string,attrs:map<string,string>,cls:string,end:int,parent:int,depth:int,nth:int,same:int>>"
+NO_TOKENS = "array<struct<pos:int,tag:string,raw:string,txt:string,attrs:map<string,string>,cls:string,end:int,parent:int,depth:int,nth:int,same:int>>"
 
 
 def first(array: Column) -> Column:
@@ -146,7 +146,7 @@ def groups_column() -> Column:
                             sub, lambda c: (c.tag == "a") & c.attrs["href"].isNotNull()
                         ).cast("int").alias("link"),
                         F.exists(sub, lambda c: c.tag == "img").cast("int").alias("img"),
-                        text.rlike("(?iU)" + PRICE).cast("int").alias("price"),
+                        has_price(text).cast("int").alias("price"),
                     ),
                 ),
             ),
@@ -222,7 +222,7 @@ def top_candidates(pages: DataFrame, k: int = 3, min_items: int = 3) -> DataFram
 
 
 def _is_title(c: Column) -> Column:
-    found = F.length(F.regexp_extract(c, "(?iU)" + PRICE, 0))
+    found = F.length(first_price(c))
     only_price = (found > 0) & (found >= F.length(c) - 2)
     return (F.length(c) >= 3) & ~is_generic_label(c) & ~only_price
 

@@ -154,7 +154,8 @@ def price_parse(spark, d):
 def distinct_lines(spark, d):
     docs = fx.table(spark, d, "documents")
     return docs.select(
-        "doc_id", tx.ordered_distinct_text(F.split("text", "\n")).alias("lines")
+        "doc_id",
+        tx.ordered_distinct_text(F.transform(F.split("text", "\n"), tx.clean)).alias("lines"),
     )
 
 

@@ -176,7 +176,7 @@ def rules_allow(rules: Column, url: Column) -> Column:
     """First rule whose path starts the URL's path decides; no rule allows."""
     path = _decoded(F.regexp_extract(url_defrag(url), r"^[^:/?#]*://[^/?#]*(.*)$", 1))
     path = F.when(path == "", "/").otherwise(path)
-    hits = F.filter(rules, lambda r: (r.path == "*") | F.startswith(path, r.path))
+    hits = F.filter(rules, lambda r: F.startswith(path, r.path))
     return F.coalesce(F.get(hits, F.lit(0)).allow, F.lit(True))
 
 

@@ -227,28 +227,53 @@ def raw_tokens(html: Column) -> Column:
 
 @reused
 def cut_column() -> Column:
-    """Tokens with tag, text and attributes, before they are paired."""
+    """Tokens with tag, text and attributes, before they are paired.
 
-    def typed(raw: Column) -> Column:
-        return F.struct(tag_name(raw).alias("tag"), raw.alias("raw"))
+    Each kind of token takes its own branch; only open tags with attributes are parsed.
+    """
+
+    def fields(tag, raw="", txt=None, attrs=None, cls="") -> Column:
+        def col(x) -> Column:
+            return x if isinstance(x, Column) else F.lit(x)
 
-    def with_attrs(t: Column) -> Column:
-        start = F.regexp_extract(t.raw, rf"(?s)^<[^>]?{TAG_REST}>", 0)
-        opens = (t.tag != "") & (t.tag != "!") & ~t.tag.startswith("/")
         return F.struct(
-            t.tag.alias("tag"),
-            F.when(t.tag == "", html_unescape(t.raw)).otherwise("").alias("raw"),
-            F.when(opens, attrs_map(start)).alias("attrs"),
+            col(tag).alias("tag"),
+            col(raw).alias("raw"),
+            col(txt).cast("string").alias("txt"),
+            col(attrs).cast("map<string,string>").alias("attrs"),
+            col(cls).alias("cls"),
+        )
+
+    def text(r: Column) -> Column:
+        return let(html_unescape(r), lambda u: fields("", u, clean_string(u)))
+
+    def opened(r: Column, tag: Column) -> Column:
+        start = F.when(
+            tag.isin("script", "style"), F.regexp_extract(r, rf"(?s)^<[^>]?{TAG_REST}>", 0)
+        ).otherwise(r)
+
+        def named(a: Column) -> Column:
+            cls = F.when(
+                a["class"].isNotNull(), F.array_join(class_list(a["class"]), " ")
+            ).otherwise("")
+            return fields(tag, attrs=a, cls=cls)
+
+        bare = fields(tag, attrs=F.create_map())
+        return F.when(r.rlike(r"^<[^\s/>]+[\s/]+[^\s/>]"), let(attrs_map(start), named)).otherwise(bare)
+
+    def markup(r: Column, tag: Column) -> Column:
+        return (
+            F.when(tag.startswith("/"), fields(tag))
+            .when(tag != "", opened(r, tag))
+            .when(r.rlike("^<[!?]"), fields("!"))
+            .otherwise(text(r))
         )
 
-    def with_class(t: Column) -> Column:
-        cls = F.coalesce(F.array_join(class_list(t.attrs["class"]), " "), F.lit(""))
-        txt = F.when(t.tag == "", clean_string(t.raw))
-        return F.struct(t.tag, t.raw, txt.alias("txt"), t.attrs, cls.alias("cls"))
+    def token(r: Column) -> Column:
+        name = F.lower(F.regexp_extract(r, r"^<(/?[a-zA-Z][^\s/>]*)", 1))
+        return F.when(r.startswith("<"), let(name, lambda tag: markup(r, tag))).otherwise(text(r))
 
-    return F.transform(
-        F.transform(F.transform(raw_tokens(F.col("html")), typed), with_attrs), with_class
-    )
+    return F.transform(raw_tokens(F.col("html")), token)
 
 
 @reused

@@ -21,8 +21,16 @@ SEVERITIES = ["High", "Medium", "Low"]
 
 DIGIT = r"\p{Nd}"
 
-# White space as str.split() knows it; Java's \s is ASCII only.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# White space as str.split() knows it; Java's \s is ASCII only.  Java looks single characters below
+# 256 up in one table, but tries ranges one by one: hence the singles, and a fence around the rest.
+WHITESPACE = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+)
+# Anything but printable characters of Latin-1, by the same table.
+UNUSUAL = "[^%s]" % "".join(
+    f"\\x{c:02x}" for c in [*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+)
 NOT_PRINTABLE = r"\p{C}"  # line and paragraph separators are white space
 ENTITY_PIECES = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"
 
@@ -32,17 +40,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _unusual(t: Column) -> Column:
-    """Does the text hold more than printable ASCII set apart by single blanks?  The test is one
-    range per character, far cheaper than the classes below."""
-    return t.rlike("[^ -~]") | t.contains("  ")
-
-
 def collapse_ws(t: Column) -> Column:
     def slow(t: Column) -> Column:
         return F.regexp_replace(t, WHITESPACE + "+", " ")
 
-    return let(t, lambda t: F.trim(F.when(_unusual(t), slow(t)).otherwise(t)))
+    return let(
+        t, lambda t: F.trim(F.when(t.rlike(UNUSUAL) | t.contains("  "), slow(t)).otherwise(t))
+    )
 
 
 def strip_ws(t: Column) -> Column:
@@ -53,10 +57,18 @@ def clean_string(t: Column) -> Column:
     """White space collapsed, then unprintable characters dropped, but blanks beside those kept;
     null when there is only white space.  ``clean`` of strings joined by a blank is the trimmed
     join of their ``clean_string``."""
-    def collapsed(t: Column) -> Column:
-        return F.when(t != "", F.when(t.rlike("[^ -~]"), F.regexp_replace(t, NOT_PRINTABLE, "")).otherwise(t))
 
-    return let(collapse_ws(t), collapsed)
+    def given(t: Column) -> Column:
+        return F.when(t != "", t)
+
+    def plain(t: Column) -> Column:
+        return let(F.trim(F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t)), given)
+
+    def other(t: Column) -> Column:
+        collapsed = let(F.trim(F.regexp_replace(t, WHITESPACE + "+", " ")), given)
+        return F.regexp_replace(collapsed, NOT_PRINTABLE, "")
+
+    return let(t, lambda t: F.when(t.rlike(UNUSUAL), other(t)).otherwise(plain(t)))
 
 
 def clean(t: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ def _none() -> Column:
     return F.array().cast(VARIANTS)
 
 
-def _key(name: str) -> str:
-    return "$['" + name.replace("'", "\\'") + "']"
+def _child(value: Column, name: str) -> Column:
+    """Value under a key; a path cannot spell every key, a map can."""
+    if re.fullmatch(r"[\w $:@-]+", name):
+        return F.try_variant_get(value, f"$['{name}']", "variant")
+    return F.element_at(F.try_variant_get(value, "$", OBJECT), F.lit(name))
 
 
 def json_path(value: Column, path: str) -> Column:
@@ -61,7 +66,7 @@ def json_path(value: Column, path: str) -> Column:
             return F.coalesce(as_list(v), _none())
 
         def child(of: Column) -> Column:
-            return F.try_variant_get(of, _key(rest[0]), "variant")
+            return _child(of, rest[0])
 
         def of_list(items: Column) -> Column:
             return F.filter(F.transform(items, child), present)

@@ -14,7 +14,7 @@ from ..functions.text import let
 from ..functions.urls import url_netloc, url_scheme
 from ..operators.links import link_candidates
 from ..operators.rows import extract_links
-from ..sources.readers import read_pages
+from ..sources.readers import read_pages, spread
 
 SHOP = "https://shop.example.com"
 
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For work on the processor: a table of fewer splits than cores is dealt over them."""
+    return spread(table(spark, sf_dir, name))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, f"{sf_dir}/pages.parquet")
 
@@ -115,7 +120,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '.jpg" alt="x"><div class="item-description">', F.col("p_type"), " part by ",
         F.col("p_brand"), "</div></body></html>",
     )
-    return table(spark, sf_dir, "part").select(
+    return spread_table(spark, sf_dir, "part").select(
         k.alias("page_id"), text(SHOP, "/p/", k).alias("url"), html.alias("html")
     )
 
@@ -135,7 +140,7 @@ def next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, '<a rel="next" href="mailto:a@b.example">next</a>')
         .otherwise("<a href='/other'>other</a>")
     )
-    return table(spark, sf_dir, "part").select(
+    return spread_table(spark, sf_dir, "part").select(
         k.alias("page_id"),
         text(SHOP, "/list/", k).alias("url"),
         text("<html><head></head><body><ul>", mark, "</ul></body></html>").alias("html"),
@@ -254,7 +259,7 @@ def platform_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, '<a href="image/a.png">i</a>')
         .otherwise("")
     )
-    return table(spark, sf_dir, "part").select(
+    return spread_table(spark, sf_dir, "part").select(
         k.alias("page_id"),
         text(SHOP, "/c/", k).alias("url"),
         text("<html><head>", mark, "</head><body>", F.col("p_name"), "</body></html>").alias("html"),

@@ -139,20 +139,20 @@ def stream_page_header(spark, d):
 
 @query
 def clean_text(spark, d):
-    docs = fx.table(spark, d, "documents")
+    docs = fx.spread_table(spark, d, "documents")
     return docs.select("doc_id", F.sha1(tx.clean(F.col("text"))).alias("cleaned"))
 
 
 @query
 def price_parse(spark, d):
-    docs = fx.table(spark, d, "documents")
+    docs = fx.spread_table(spark, d, "documents")
     found = docs.select("doc_id", tx.price(F.col("text")).alias("price"))
     return found.select("doc_id", "price", tx.price_amount(F.col("price")).alias("amount"))
 
 
 @query
 def distinct_lines(spark, d):
-    docs = fx.table(spark, d, "documents")
+    docs = fx.spread_table(spark, d, "documents")
     return docs.select(
         "doc_id",
         tx.ordered_distinct_text(F.transform(F.split("text", "\n"), tx.clean)).alias("lines"),

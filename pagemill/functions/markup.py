@@ -288,10 +288,12 @@ def paired_column() -> Column:
     return F.transform("cut", merged)
 
 
-def with_tokens(pages: DataFrame, min_items: int = 3) -> DataFrame:
-    """``page_id, url, html -> page_id, url, tokens, groups``; see the module text."""
+def with_tokens(pages: DataFrame, min_items: int = 3, **columns: Column) -> DataFrame:
+    """``page_id, url, html -> page_id, url, tokens, groups``; see the module text.  Further
+    ``columns`` may read the page before ``html`` is let go."""
     kept = [c for c in pages.columns if c != "html"]
-    cut = once(pages, kept, cut=cut_column())
+    cut = once(pages, kept, cut=cut_column(), **columns)
+    kept += columns
     codes = F.transform("cut", lambda t: F.concat(t.tag, F.lit("\t"), t.cls))
     treed = cut.select(*kept, "cut", element_tree(min_items)(codes).alias("tree"))
     return once(treed, kept, tokens=paired_column(), groups=F.col("tree.groups"))

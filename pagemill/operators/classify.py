@@ -255,8 +255,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
     from .records import first, group_selector, groups_column, once, with_document
 
     tokens = F.col("tokens")
-    with_cms = once(pages, pages.columns, cms=detect_cms_column(F.col("html")))
-    doc = with_document(with_cms)
+    doc = with_document(pages, cms=detect_cms_column(F.col("html")))
     doc = once(
         doc,
         ["page_id", "url", "tokens", "cms"],

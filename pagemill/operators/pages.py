@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import once, visible
 from ..session import reused
-from .classify import detect_cms_column
 from .quality import (
     button_issues,
     form_issues,
@@ -19,13 +18,13 @@ from .quality import (
     link_issues,
 )
 from .records import (
-    AUTO,
     book_cards_column,
+    found_columns,
+    found_document,
     next_column,
     product_column,
     tables_column,
     with_document,
-    with_items,
 )
 from .rows import header_columns, headings_column, images_column, links_column, with_visible
 
@@ -36,24 +35,25 @@ KINDS = ["listing", "product", "books"]
 NO_CANDIDATES = "array<struct<selector:string,count:int,score:double>>"
 
 
-def _with_kind(pages: DataFrame, kind: str, preset: str, item_selector: str, min_items: int):
+def _with_kind(
+    pages: DataFrame, kind: str, preset: str, item_selector: str, min_items: int
+) -> DataFrame:
+    """Tokens, ``body`` and ``found``: items, selector and candidates by the kind of page."""
+    body = visible(F.col("html"))
     if kind == "listing":
-        return with_items(pages, preset, item_selector, min_items)
-    if kind not in KINDS:
-        raise KeyError(f"Unknown page kind '{kind}'. Available: {', '.join(sorted(KINDS))}")
-    doc = with_document(pages, min_items)
-    if kind == "product":
-        items, selector = product_column(), "h1 (hand-written)"
+        doc = found_document(pages, preset, item_selector, min_items, body=body)
+        found = found_columns(preset, item_selector, ("items", "selector", "candidates"))
+    elif kind in KINDS:
+        doc = with_document(pages, min_items, body=body)
+        product = kind == "product"
+        found = F.struct(
+            (product_column() if product else book_cards_column()).alias("items"),
+            F.lit("h1 (hand-written)" if product else "article.product_pod").alias("selector"),
+            F.array().cast(NO_CANDIDATES).alias("candidates"),
+        )
     else:
-        items, selector = book_cards_column(), "article.product_pod"
-    kept = [c for c in doc.columns if c != "groups"]
-    return once(
-        doc,
-        kept,
-        items=items,
-        selector=F.lit(selector),
-        candidates=F.array().cast(NO_CANDIDATES),
-    )
+        raise KeyError(f"Unknown page kind '{kind}'. Available: {', '.join(sorted(KINDS))}")
+    return once(doc, [c for c in doc.columns if c != "groups"], found=found)
 
 
 # Rules by what they need: columns of the page's row.
@@ -103,12 +103,11 @@ def extract_pages(
     The page is cut into tokens once and all families are arrays in its row; ``family`` turns one
     of them into rows.  Store the result before reading several families from it.
     """
-    extra = {"preset": detect_cms_column(F.col("html")).preset} if preset == AUTO else {}
-    pages = once(pages, pages.columns, body=visible(F.col("html")), **extra)
     doc = _with_kind(pages, kind, preset, item_selector, min_items)
     rows = once(
         doc,
-        [c for c in doc.columns if c not in ("body", "base", "nav")],
+        ["page_id", "url", "tokens"],
+        **{c: F.col(f"found.{c}") for c in ("items", "selector", "candidates")},
         **header_columns(),
         links=links_column(),
         images=images_column(),
@@ -160,5 +159,8 @@ def qa_elements(pages: DataFrame) -> DataFrame:
 
 def qa_items(pages: DataFrame, preset: str = "", item_selector: str = "") -> DataFrame:
     """Only the item rules."""
-    doc = with_items(pages, preset, item_selector)
+    found = found_columns(preset, item_selector, ("items",))
+    doc = once(
+        found_document(pages, preset, item_selector, 3), ["page_id"], items=found["items"]
+    )
     return doc.select("page_id", F.inline(numbered(item_rules())))

@@ -77,12 +77,17 @@ def json_path(value: Column, path: str) -> Column:
     return F.when(value.isNotNull(), walk(value, steps)).otherwise(_none())
 
 
-def field_map_column(sample: Column) -> Column:
-    """``map<field, key>`` guessed from the keys of one object; '' where nothing fits."""
-    keys = F.coalesce(
-        F.map_keys(F.try_variant_get(sample, "$", OBJECT)), F.array().cast("array<string>")
+def objects_of(rows: Column) -> Column:
+    """The objects among values, each as ``map<string,variant>``."""
+    return F.filter(
+        F.transform(rows, lambda v: F.try_variant_get(v, "$", OBJECT)), lambda m: m.isNotNull()
     )
 
+
+def field_map_column(keys: Column) -> Column:
+    """``map<field, key>`` guessed from the keys of one object; '' where nothing fits."""
+    keys = F.coalesce(keys, F.array().cast("array<string>"))
+
     def pick(keys: Column, names: list[str]) -> Column:
         hits = F.transform(
             F.array(*map(F.lit, names)),
@@ -99,16 +104,24 @@ def field_map_column(sample: Column) -> Column:
     return let(keys, fields)
 
 
-def get_by_path(value: Column, key: Column) -> Column:
-    """Text at a dotted key of an object, '' when missing or null."""
+def get_by_path(fields: Column, key: Column) -> Column:
+    """Text at a dotted key of an object given as ``map<string,variant>``; '' when missing."""
 
     def step(v: Column, part: Column) -> Column:
         return F.element_at(F.try_variant_get(v, "$", OBJECT), part)
 
-    found = F.aggregate(F.split(key, r"\."), value, step)
-    text = F.coalesce(F.try_variant_get(found, "$", "string"), F.to_json(found), F.lit(""))
-    gone = (key == "") | found.isNull() | F.is_variant_null(found)
-    return F.when(gone, "").otherwise(text)
+    def found(parts: Column) -> Column:
+        return F.aggregate(
+            F.slice(parts, F.lit(2), F.size(parts)), F.element_at(fields, F.get(parts, F.lit(0))), step
+        )
+
+    def text(v: Column) -> Column:
+        gone = v.isNull() | F.is_variant_null(v)
+        return F.when(gone, "").otherwise(
+            F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+        )
+
+    return F.when(key == "", "").otherwise(let(let(F.split(key, r"\."), found), text))
 
 
 def item_rows(rows: Column, field_map: dict[str, str] | None, max_items: int | None) -> Column:
@@ -116,7 +129,7 @@ def item_rows(rows: Column, field_map: dict[str, str] | None, max_items: int | N
 
     def build(objects: Column) -> Column:
         if field_map is None:
-            keys = field_map_column(F.get(objects, F.lit(0)))
+            keys = field_map_column(F.map_keys(F.get(objects, F.lit(0))))
         else:
             keys = F.create_map(
                 *[F.lit(x) for f in FIELD_NAMES for x in (f, field_map.get(f, ""))]
@@ -126,10 +139,10 @@ def item_rows(rows: Column, field_map: dict[str, str] | None, max_items: int | N
         def item(k: Column) -> Column:
             return F.transform(
                 chosen,
-                lambda v, i: F.struct(
+                lambda m, i: F.struct(
                     (i + 1).cast("int").alias("index"),
                     *[
-                        truncate(get_by_path(v, k[f]), cap).alias(f)
+                        truncate(get_by_path(m, k[f]), cap).alias(f)
                         for f, cap in FIELD_CAPS.items()
                     ],
                 ),
@@ -137,8 +150,7 @@ def item_rows(rows: Column, field_map: dict[str, str] | None, max_items: int | N
 
         return let(keys, item)
 
-    objects = F.filter(rows, lambda v: F.try_variant_get(v, "$", OBJECT).isNotNull())
-    return let(objects, build)
+    return let(objects_of(rows), build)
 
 
 def items_from_json(
@@ -162,12 +174,10 @@ def json_field_map(payloads: DataFrame, path: str = "", body: str = "body") -> D
     """The guessed key of every field, one row per payload and field."""
     kept = [c for c in payloads.columns if c != body]
     value = F.when(~F.col(body).rlike(FALSY), F.try_parse_json(F.col(body)))
-    objects = F.filter(
-        json_path(value, path), lambda v: F.try_variant_get(v, "$", OBJECT).isNotNull()
-    )
-    firsts = payloads.select(*kept, F.get(objects, F.lit(0)).alias("_first"))
-    return firsts.where("_first is not null").select(
-        *kept, F.explode(field_map_column(F.col("_first"))).alias("field", "key")
+    first = F.get(objects_of(json_path(value, path)), F.lit(0))
+    keys = payloads.select(*kept, F.map_keys(first).alias("_keys"))
+    return keys.where("_keys is not null").select(
+        *kept, F.explode(field_map_column(F.col("_keys"))).alias("field", "key")
     )
 
 

@@ -56,14 +56,13 @@ def by_tag(tokens: Column, *tags: str) -> Column:
 
 
 @reused
-def document_columns() -> dict[str, Column]:
-    return {"base": url_parts(F.col("url")), "nav": by_tag(F.col("tokens"), *NAV_TAGS)}
+def page_base() -> Column:
+    return url_parts(F.col("url"))
 
 
-def with_document(pages: DataFrame, min_items: int = 3) -> DataFrame:
-    """``with_tokens`` plus ``base`` (the split page URL) and ``nav`` (navigation elements)."""
-    tokens = with_tokens(pages, min_items)
-    return once(tokens, tokens.columns, **document_columns())
+def with_document(pages: DataFrame, min_items: int = 3, **columns: Column) -> DataFrame:
+    """``with_tokens`` plus ``base``, the split page URL."""
+    return with_tokens(pages, min_items, base=page_base(), **columns)
 
 
 # ---------------------------------------------------------------- nodes
@@ -131,7 +130,7 @@ def groups_column() -> Column:
 
     ``groups`` holds positions of at least ``min_items`` siblings alike in tag and classes.
     """
-    tokens, groups, nav = F.col("tokens"), F.col("groups"), F.col("nav")
+    tokens, groups = F.col("tokens"), F.col("groups")
 
     def member(pos: Column) -> Column:
         return let(
@@ -155,7 +154,7 @@ def groups_column() -> Column:
     def share(m: Column, flag: str, n: Column) -> Column:
         return F.aggregate(m[flag], F.lit(0), lambda a, x: a + x) / n
 
-    def scored(g: Column, i: Column) -> Column:
+    def scored(g: Column, i: Column, nav: Column) -> Column:
         m, n = g.members, F.size(g.pos)
         median = F.get(F.array_sort(m["len"]), F.floor(n / 2).cast("int"))
         parent = F.get(tokens, F.get(tokens, g.pos[0]).parent)
@@ -174,8 +173,11 @@ def groups_column() -> Column:
     measured = F.transform(
         groups, lambda g: F.struct(g.alias("pos"), F.transform(g, member).alias("members"))
     )
-    kept = F.filter(F.transform(measured, scored), lambda g: g.median >= 8)
-    return F.array_sort(kept)
+    ranked = let(
+        by_tag(tokens, *NAV_TAGS),
+        lambda nav: F.transform(measured, lambda g, i: scored(g, i, nav)),
+    )
+    return F.array_sort(F.filter(ranked, lambda g: g.median >= 8))
 
 
 def group_selector(tokens: Column, g: Column) -> Column:
@@ -348,70 +350,69 @@ def _is_empty(preset) -> bool:
 
 
 @reused
-def named_nodes(preset: str, item_selector: str) -> Column:
-    """Elements matched by the given selector, else by the preset's."""
-    tokens = F.col("tokens")
-    if item_selector:
-        return select(tokens, item_selector)
-    return preset_hits(preset_of(preset), "item_selector", tokens)
-
-
-@reused
-def item_columns(preset: str, item_selector: str) -> dict[str, Column]:
-    """``items, selector, candidates`` from ``named`` and ``ranked``."""
+def found_columns(preset: str, item_selector: str, wanted: tuple) -> Column:
+    """Struct of the ``wanted`` among items, selector, candidates and n_items."""
     tokens, chosen = F.col("tokens"), preset_of(preset)
-    wanted = F.lit(item_selector) if item_selector else _wanted(chosen)
+    if item_selector:
+        named, asked = select(tokens, item_selector), F.lit(item_selector)
+    else:
+        named, asked = preset_hits(chosen, "item_selector", tokens), _wanted(chosen)
     suffix = F.lit("")
     if preset:
         name = chosen if preset == AUTO else F.lit(preset)
         suffix = F.concat(F.lit("  (preset:"), name, F.lit(")"))
-    hit = F.size("named") > 0
-    best = first(F.col("ranked"))
-    nodes = F.when(hit, F.col("named")).otherwise(
-        F.coalesce(F.transform(best.pos, lambda p: F.get(tokens, p)), F.array().cast(NO_TOKENS))
-    )
-    found = F.coalesce(group_selector(tokens, best), wanted)
-    candidates = F.transform(
-        F.slice("ranked", 1, 3),
-        lambda g: F.struct(
-            group_selector(tokens, g).alias("selector"),
-            g["count"].alias("count"),
-            (-g.minus).alias("score"),
-        ),
-    )
-    return {
-        "items": F.transform(
-            nodes, lambda n, i: item_struct(tokens, F.col("base"), n, i + 1, chosen)
-        ),
-        "selector": F.when(hit, F.concat(wanted, suffix))
-        .when(wanted != "", F.concat(found, F.lit("  [auto-fallback]")))
-        .otherwise(found),
-        "candidates": F.when(hit, F.slice(candidates, 1, 0)).otherwise(candidates),
+
+    def nodes(s: Column, hit: Column) -> Column:
+        of_best = F.transform(first(s.ranked).pos, lambda p: F.get(tokens, p))
+        return F.when(hit, s.named).otherwise(F.coalesce(of_best, F.array().cast(NO_TOKENS)))
+
+    def selector(s: Column, hit: Column) -> Column:
+        auto = F.coalesce(group_selector(tokens, first(s.ranked)), asked)
+        return (
+            F.when(hit, F.concat(asked, suffix))
+            .when(asked != "", F.concat(auto, F.lit("  [auto-fallback]")))
+            .otherwise(auto)
+        )
+
+    def candidates(s: Column, hit: Column) -> Column:
+        top = F.transform(
+            F.slice(s.ranked, 1, 3),
+            lambda g: F.struct(
+                group_selector(tokens, g).alias("selector"),
+                g["count"].alias("count"),
+                (-g.minus).alias("score"),
+            ),
+        )
+        return F.when(hit, F.slice(top, 1, 0)).otherwise(top)
+
+    def items(s: Column, hit: Column) -> Column:
+        return F.transform(
+            nodes(s, hit), lambda n, i: item_struct(tokens, F.col("base"), n, i + 1, chosen)
+        )
+
+    makers = {
+        "items": items,
+        "selector": selector,
+        "candidates": candidates,
+        "n_items": lambda s, hit: F.size(nodes(s, hit)),
     }
 
+    def found(s: Column) -> Column:
+        hit = F.size(s.named) > 0
+        return F.struct(*[makers[w](s, hit).alias(w) for w in wanted])
 
-def with_items(
-    pages: DataFrame, preset: str = "", item_selector: str = "", min_items: int = 3
-) -> DataFrame:
-    """Add to each page its ``items``, the ``selector`` that found them and the ``candidates``.
+    return let(F.struct(named.alias("named"), groups_column().alias("ranked")), found)
 
-    ``item_selector`` goes before the preset's selector; without a hit, or without either, the
-    best repeating group is taken.  ``preset`` is a name, '' for none, or 'auto' to detect the
-    platform of every page.
-    """
+
+def found_document(pages: DataFrame, preset: str, item_selector: str, min_items: int, **columns):
+    """``with_document`` for ``found_columns``: checks the names and adds the page's preset."""
     if preset == AUTO:
-        if "preset" not in pages.columns:
-            pages = once(pages, pages.columns, preset=detect_cms_column(F.col("html")).preset)
+        columns["preset"] = detect_cms_column(F.col("html")).preset
     elif preset:
         get_preset(preset)
     if item_selector:
         matcher(item_selector)
-    doc = with_document(pages, min_items)
-    doc = once(
-        doc, doc.columns, named=named_nodes(preset, item_selector), ranked=groups_column()
-    )
-    kept = [c for c in doc.columns if c not in ("named", "ranked", "groups")]
-    return once(doc, kept, **item_columns(preset, item_selector))
+    return with_document(pages, min_items, **columns)
 
 
 def _wanted(preset) -> Column:
@@ -423,16 +424,25 @@ def _wanted(preset) -> Column:
     return wanted
 
 
-def extract_items(pages: DataFrame, preset: str = "", item_selector: str = "", min_items: int = 3) -> DataFrame:
-    """Items of every page: ``page_id, index, title, price, link, image, text``."""
-    found = with_items(pages, preset, item_selector, min_items)
-    return found.select("page_id", F.inline("items"))
+def extract_items(
+    pages: DataFrame, preset: str = "", item_selector: str = "", min_items: int = 3
+) -> DataFrame:
+    """Items of every page: ``page_id, index, title, price, link, image, text``.
+
+    ``item_selector`` goes before the preset's selector; without a hit, or without either, the
+    best repeating group is taken.  ``preset`` is a name, '' for none, or 'auto' to detect the
+    platform of every page.
+    """
+    found = found_columns(preset, item_selector, ("items",))
+    doc = found_document(pages, preset, item_selector, min_items)
+    return doc.select("page_id", F.inline(found["items"]))
 
 
 def item_selectors(pages: DataFrame, preset: str = "", item_selector: str = "") -> DataFrame:
     """How each page's items were found, and how many there are."""
-    found = with_items(pages, preset, item_selector)
-    return found.select("page_id", "selector", F.size("items").alias("n_items"))
+    found = found_columns(preset, item_selector, ("selector", "n_items"))
+    doc = found_document(pages, preset, item_selector, 3)
+    return doc.select("page_id", F.inline(F.array(found)))
 
 
 # ---------------------------------------------------------------- hand-written page kinds

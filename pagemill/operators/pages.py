@@ -116,11 +116,10 @@ def extract_pages(
         next_url=F.coalesce(next_column(preset), F.lit("")),
     )
     rules = [*text_rules(), *row_rules(), *element_rules(), *item_rules()]
-    return rows.select(
-        "page_id", "url", "title", "description", "lang", "selector", "candidates", "next_url",
-        *[f for f in FAMILIES if f != "issues"],
-        numbered(rules).alias("issues"),
-    )
+    kept = ["page_id", "url", "title", "description", "lang", "selector", "candidates", "next_url"]
+    # behind a generator too: the optimizer tests the size of an array before it explodes it, and
+    # would work out the issues a second time for that
+    return once(rows, [*kept, *[f for f in FAMILIES if f != "issues"]], issues=numbered(rules))
 
 
 def family(extracted: DataFrame, name: str) -> DataFrame:

@@ -58,10 +58,9 @@ def completeness(items: DataFrame, issues: DataFrame) -> DataFrame:
         F.count("*").alias("qa_issues_total"),
         F.count_if(F.lower("severity") == "high").alias("qa_issues_high"),
     )
-    # two one-row aggregates side by side
-    return per_item.withColumn("_k", F.lit(1)).join(
-        per_issue.withColumn("_k", F.lit(1)), "_k"
-    ).drop("_k")
+    # one row each, brought together by a sum and not by a join
+    both = per_item.unionByName(per_issue, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def quality_summary(done: DataFrame) -> DataFrame:

@@ -20,13 +20,19 @@ names go through Arrow to the stack pass that pairs them.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reused
 from .text import WHITESPACE, clean, clean_string, html_unescape, let
 
+# The stack pass travels to the executors as code: they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Inside of a tag: a quote counts only after '='.  The loop is possessive, so it does not recurse.
 TAG_REST = r"""(?:[^>"'=]++|=\s*"[^"]*"|=\s*'[^']*'|=|"|')*+"""
 HIDDEN = r"<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\z)"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import VOID_TAGS, inside, non_empty, text_of
+from ..functions.selectors import matcher
 from ..functions.text import clean, let, truncate
 from .records import by_tag
 
@@ -230,41 +231,64 @@ def id_issues(tokens: Column) -> Column:
     )
 
 
+def unmatched(values: Column, keys: Column) -> Column:
+    """Indexes of the values that are not among the keys, in order; the work is that of a sort.
+
+    Sorted together, a key comes before the values equal to it, so a run of equal values is
+    matched if it starts with a key.
+    """
+    marked = F.concat(
+        F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("value"), F.lit(-1).alias("i"))),
+        F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("i"))),
+    )
+
+    def first_of_run(s: Column) -> Column:
+        return F.filter(
+            F.transform(s, lambda r, i: i),
+            lambda i: (i == 0) | (F.get(s, i - 1).value != F.get(s, i).value),
+        )
+
+    def free_runs(s: Column, starts: Column) -> Column:
+        runs = F.transform(
+            starts, lambda b, k: F.slice(s, b + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - b)
+        )
+        return F.filter(runs, lambda r: F.get(r, F.lit(0)).i >= 0)
+
+    def free(s: Column) -> Column:
+        runs = let(first_of_run(s), lambda starts: free_runs(s, starts))
+        return F.array_sort(F.flatten(F.transform(runs, lambda r: F.transform(r, lambda x: x.i))))
+
+    return let(F.array_sort(marked), free)
+
+
 def form_issues(tokens: Column) -> Column:
-    def check(s: Column) -> Column:
-        labels_for = F.transform(s.labels, lambda label: label.attrs["for"])
-
-        def labelled(f: Column) -> Column:
-            return (
-                _given(f.attrs["aria-label"])
-                | _given(f.attrs["aria-labelledby"])
-                | _given(f.attrs["title"])
-                | F.coalesce(F.array_contains(labels_for, f.attrs["id"]), F.lit(False))
-                | F.exists(s.labels, lambda label: (label.pos < f.pos) & (f.pos <= label.end))
-            )
+    inside_label = matcher("label input, label select, label textarea")
 
-        def found(f: Column) -> Column:
-            hint = _given(f.attrs["placeholder"])
-            return issue(
-                F.when(hint, "Low").otherwise("Medium"),
-                "Form field without label",
-                F.when(hint, "Only placeholder.").otherwise("No <label>/aria-label."),
-                snippet(tokens, f),
-            )
+    def unnamed(f: Column) -> Column:
+        kind = F.lower(F.coalesce(non_empty(f.attrs["type"]), F.lit("text")))
+        named = (
+            _given(f.attrs["aria-label"]) | _given(f.attrs["aria-labelledby"]) | _given(f.attrs["title"])
+        )
+        return ~kind.isin(UNLABELLED_TYPES) & ~named & ~inside_label(tokens, f)
+
+    def found(f: Column) -> Column:
+        hint = _given(f.attrs["placeholder"])
+        return issue(
+            F.when(hint, "Low").otherwise("Medium"),
+            "Form field without label",
+            F.when(hint, "Only placeholder.").otherwise("No <label>/aria-label."),
+            snippet(tokens, f),
+        )
 
-        asked = F.filter(
-            s.fields,
-            lambda f: ~F.lower(F.coalesce(non_empty(f.attrs["type"]), F.lit("text"))).isin(
-                UNLABELLED_TYPES
-            ),
+    def check(fields: Column) -> Column:
+        ids = F.transform(fields, lambda f: F.coalesce(f.attrs["id"], F.lit("")))
+        targets = F.filter(
+            F.transform(by_tag(tokens, "label"), lambda t: t.attrs["for"]), lambda v: v != ""
         )
-        return one_each(F.filter(asked, lambda f: ~labelled(f)), found)
+        return one_each(unmatched(ids, targets), lambda i: found(F.get(fields, i)))
 
-    parts = F.struct(
-        by_tag(tokens, "label").alias("labels"),
-        by_tag(tokens, "input", "select", "textarea").alias("fields"),
-    )
-    return let(parts, check)
+    fields = F.filter(by_tag(tokens, "input", "select", "textarea"), unnamed)
+    return let(fields, check)
 
 
 # ---------------------------------------------------------------- items

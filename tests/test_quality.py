@@ -1,7 +1,12 @@
+import random
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from pagemill.operators import pages as whole
 from pagemill.operators.classify import strict_gate
+from pagemill.operators.quality import repeats, unmatched
 from pagemill.operators.summary import sort_issues
 
 CLEAN = (
@@ -85,3 +90,24 @@ def test_gate_and_order(page):
     order = [r.severity for r in sort_issues(found).collect()]
     assert order == sorted(order, key=["High", "Medium", "Low"].index)
     assert not strict_gate(whole.qa_header(page(CLEAN % ""))).first().failed
+
+
+def test_unmatched_and_repeats(spark):
+    rng = random.Random(3)
+    rows = [
+        (n, [rng.choice("abcdef") for _ in range(rng.randrange(9))], [rng.choice("abcxyz") for _ in range(rng.randrange(5))])
+        for n in range(60)
+    ]
+    df = spark.createDataFrame(rows, "n int, v array<string>, k array<string>")
+    got = df.select("n", unmatched(F.col("v"), F.col("k")).alias("free"), repeats(F.col("v")).alias("twice"))
+    for r in got.collect():
+        _, v, k = rows[r.n]
+        assert r.free == [i for i, x in enumerate(v) if x not in k]
+        assert [(t.value, t.n) for t in r.twice] == [(x, v.count(x)) for x in dict.fromkeys(v) if v.count(x) > 1]
+
+
+def test_rules_on_a_long_page(page):
+    """4,000 fields and as many labels on one page."""
+    html = "".join(f'<input id="f{i}"><label for="f{i + i % 2}">l</label>' for i in range(4000))
+    found = whole.qa_elements(page(html)).collect()
+    assert len(found) == 2000 and {r.check for r in found} == {"Form field without label"}

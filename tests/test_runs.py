@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -156,6 +159,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 # ---------------------------------------------------------------- registered queries
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 )
@@ -197,3 +201,22 @@ def test_query_against_sql(spark, duck, name):
 
 def test_entry(spark):
     assert set(entry.entry(spark).columns) == {"host", "type", "n_links"}
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    """The queries with Python in them run where the package is not on the workers' path."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as entry
+for name in ("html_nodes", "map_with_errors", "skip_bad_rows"):
+    assert entry.queries()[name](spark, {SF!r}).count() > 0
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "done" in ran.stdout, ran.stderr[-2000:]

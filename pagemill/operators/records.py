@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import (
-    attr,
     class_list,
     inside,
     is_element,

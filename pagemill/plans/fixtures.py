@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let
 from ..functions.urls import url_netloc, url_scheme
 from ..operators.links import link_candidates
 from ..operators.rows import extract_links

@@ -13,6 +13,7 @@ from ..functions import urls as ur
 from ..functions.markup import raw_tokens, tag_name
 from ..operators import classify, crawl, dedupe, guarded, incremental, links, payloads, records, rows, summary
 from ..operators import pages as whole
+from ..operators.presets import presets_table
 from ..sources import readers, writers
 from ..session import new_folder
 from ..streaming import live
@@ -78,7 +79,7 @@ def html_nodes(spark, d):
 
 @query
 def nav_nodes(spark, d):
-    found = records.select_nodes(fx.pages(spark, d), "nav li > a".replace(" >", ""))
+    found = records.select_nodes(fx.pages(spark, d), "nav li a")
     return found.select("page_id", "tag", "text")
 
 
@@ -247,18 +248,12 @@ def presets(spark, d):
     """The platform of every page joined to its preset."""
     found = classify.detect_cms(fx.platform_pages(spark, d))
     # eight rows whatever the data
-    known = F.broadcast(records_presets(spark))
+    known = F.broadcast(presets_table(spark))
     return found.join(known, found.preset == known.name).select(
         "page_id", "preset", "item_selector", "next_selector"
     )
 
 
-def records_presets(spark):
-    from ..operators.presets import presets_table
-
-    return presets_table(spark)
-
-
 @query
 def book_cards(spark, d):
     return records.extract_book_cards(fx.catalog_pages(spark, d))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk
+from . import decontaminate, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,42 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query
+def op2_decontaminate(spark, d):
+    """Words of every document that lie in a window of ten benchmark words."""
+    hits = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return hits.drop("hit_words")
+
+
+ORACLES["op2_decontaminate"] = r"""
+with item as (
+    select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+), doc as (
+    select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+    from documents
+), item_window as (
+    select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as txt
+    from (select *, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from item where len(w) > 0)
+), doc_window as (
+    select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as txt
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from doc, (select distinct n from item_window) where len(w) >= n)
+), hit as (
+    select doc_id, d.n, i, item_id from doc_window d join item_window using (n, txt)
+), hit_word as (
+    select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id
+), hit_item as (
+    select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct doc_id, item_id::varchar as id from hit) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit_word using (doc_id) left join hit_item using (doc_id)
+"""
+
+
 @query
 def op10_topk(spark, d):
     """Every vector whose id is divisible by 50 against all vectors."""

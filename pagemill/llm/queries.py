@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, topk
+from ..session import new_folder
+from . import bpe, decontaminate, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +61,45 @@ from doc left join hit_word using (doc_id) left join hit_item using (doc_id)
 """
 
 
+@query
+def op3_warc(spark, d):
+    """Every page written into seekable archives and read back from them."""
+    pages = table(spark, d, "pages")
+    archive = warc.write_archive(pages, new_folder(spark, "archive"))
+    return warc.read_archive(spark, archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op3_warc"] = """
+with p as (
+    select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages
+), f as (
+    select *, min(page_id) over (partition by body) as first_id from p
+)
+select page_id, octet_length(encode(body))::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(hex, (5 * (i // 4) + 1)::int, 5))::int) >> (15 - 5 * (i % 4))::int) & 31) + 1, 1)), '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to
+from f
+"""
+
+
+@query
+def op4_bpe(spark, d):
+    """Ids of every text, and the text decoded from them again."""
+    return bpe.encode_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op5_token_counts(spark, d):
+    """Number of tokens of every text."""
+    return token_counts.count_tokens(
+        table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512
+    )
+
+
 @query
 def op10_topk(spark, d):
     """Every vector whose id is divisible by 50 against all vectors."""

@@ -149,7 +149,7 @@ class Bundle:
         self.path = path
         system, plain = fs.FileSystem.from_uri(path)
         system.create_dir(plain.rpartition("/")[0], recursive=True)
-        self.out = system.open_output_stream(plain)
+        self.out = system.open_output_stream(plain, compression=None)
         self.frames: list[tuple[int, int]] = []
         self.size = 0
 

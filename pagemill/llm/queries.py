@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from . import bpe, decontaminate, token_counts, topk, warc
+from . import bpe, decontaminate, quality, simhash, token_counts, token_files, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,9 +23,22 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    # Where the package isn't installed, the workers of a local session find it beside this file.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query
+def op1_quality(spark, d):
+    """Quality score of every text; every fourth document is held out of the fit."""
+    documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    out = quality.held_out(F.col("doc_id"), 4, 2)
+    model = quality.fit(documents, labels.where(~out), "quality")
+    rows = quality.scored(documents.select("doc_id", "text"), model, "score")
+    predicted = F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)
+    return rows.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query
 def op2_decontaminate(spark, d):
     """Words of every document that lie in a window of ten benchmark words."""
@@ -100,6 +114,22 @@ def op5_token_counts(spark, d):
     )
 
 
+@query
+def op6_simhash(spark, d):
+    """Fingerprint and component of near copies of every document."""
+    return simhash.near_copies(table(spark, d, "documents"))
+
+
+@query
+def op7_token_files(spark, d):
+    """Ids of every text written to Parquet in document order, and read from there."""
+    folder = new_folder(spark, "tokens")
+    token_files.write_token_ids(
+        table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2
+    )
+    return token_files.token_digest(spark, folder)
+
+
 @query
 def op10_topk(spark, d):
     """Every vector whose id is divisible by 50 against all vectors."""

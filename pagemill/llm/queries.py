@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from . import bpe, decontaminate, quality, simhash, token_counts, token_files, topk, warc
+from . import bpe, decontaminate, quality, simhash, token_counts, token_files, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +130,16 @@ def op7_token_files(spark, d):
     return token_files.token_digest(spark, folder)
 
 
+@query
+def op9_toxicity(spark, d):
+    """Toxicity score of every text; every third document is held out of the fit."""
+    documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    out = quality.held_out(F.col("doc_id"), 3, 1)
+    rows = toxicity.toxicity(documents, labels.where(~out), "toxic")
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return rows.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"), "evidence")
+
+
 @query
 def op10_topk(spark, d):
     """Every vector whose id is divisible by 50 against all vectors."""

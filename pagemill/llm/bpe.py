@@ -92,40 +92,35 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def token_ids(text: Column, path: str) -> Column:
-    """The ids of the whole text."""
+def encoded(text: Column, path: str, with_ids: bool = False) -> Column:
+    """``n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for: the text encoded, and
+    decoded again from the ids."""
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        encode = codec(path).encode
-        rows = [np.array(encode(t.as_py() or ""), dtype=np.int32) for t in texts]
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *rows]))
-
-    return run.asNondeterministic()(text)
-
-
-def encoded_digest(text: Column, path: str) -> Column:
-    """``n_tokens, ids_sha256, decoded_sha256``: the text encoded, and decoded again from the ids."""
-
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
         both = codec(path)
         named = list(map(str, range(len(both.vocabulary.bytes_of))))
-        counts, of_ids, of_text = [], [], []
+        counts, of_ids, of_text, rows = [], [], [], []
         for text in texts:
             ids = both.encode(text.as_py() or "")
             counts.append(len(ids))
             of_ids.append(hashlib.sha256(",".join(map(named.__getitem__, ids)).encode()).hexdigest())
             of_text.append(hashlib.sha256(both.decode(ids).encode()).hexdigest())
-        return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-            names=["n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+            if with_ids:
+                rows.append(np.array(ids, dtype=np.int32))
+        columns = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            ends = np.cumsum([0, *counts], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *rows])))
+            names.append("ids")
+        return pa.StructArray.from_arrays(columns, names=names)
 
     return run.asNondeterministic()(text)
 
 
-def encode_documents(documents: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    return documents.select("doc_id", encoded_digest(F.col("text"), path).alias("e")).select("doc_id", "e.*")
+def encode_documents(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for."""
+    rows = documents.select("doc_id", encoded(F.col("text"), path, with_ids).alias("e"))
+    return rows.select("doc_id", "e.*")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from . import bpe, decontaminate, quality, simhash, token_counts, token_files, topk, toxicity, warc
+from . import bpe, decontaminate, quality, repeats, simhash, token_counts, token_files, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +130,12 @@ def op7_token_files(spark, d):
     return token_files.token_digest(spark, folder)
 
 
+@query
+def op8_repeats(spark, d):
+    """Bytes of every text within a string of 200 bytes that occurs more than once."""
+    return repeats.repeats(table(spark, d, "documents"))
+
+
 @query
 def op9_toxicity(spark, d):
     """Toxicity score of every text; every third document is held out of the fit."""

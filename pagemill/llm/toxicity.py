@@ -15,7 +15,7 @@ that is broadcast.
 
 Defined results: a null text counts as empty.  A text that shares no term with an example gets the
 share of label 1 among the examples without terms, made smooth, as its vote, and no evidence.  Of
-equal cosines the earlier example, by doc_id, is nearer.  Without labelled rows scores are 0.5.
+equal cosines those met first, in the fixed order of blocks and examples, are taken.  Without labelled rows scores are 0.5.
 Repeated rows are scored each; texts are read whole.
 """
 
@@ -38,7 +38,7 @@ FIT_ROWS = 16_000
 VOCABULARY = 8_192
 LEAST_Z, LEAST_ODDS = 4.0, 1.0
 NEAREST = 15
-BLOCK = 128
+BLOCK = 64
 THRESHOLD = 0.7
 KEPT_WORDS = 200_000
 WORD = re.compile(r"\w+")
@@ -101,21 +101,27 @@ class Examples:
     """Block-max inverted index of the labelled examples."""
 
     def __init__(self, ids: list[int], labels: list[int], rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
-        order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
+        self.idf = idf
+        vectors = [self.vector(*row) for row in rows]
+        # Examples with the same heaviest term stand together, so that block maxima are tight.
+        lead = [int(t[np.argmax(w)]) if len(t) else len(idf) for t, w in vectors]
+        order = np.lexsort((np.array(ids, dtype=np.int64), np.array(lead, dtype=np.int64)))
         self.ids = np.array(ids, dtype=np.int64)[order]
         self.labels = np.array(labels, dtype=np.float64)[order]
-        self.idf = idf
-        vectors = [self.vector(*rows[n]) for n in order]
+        self.place = {int(i): n for n, i in enumerate(self.ids)}
+        vectors = [vectors[n] for n in order]
         sizes = [len(t) for t, _ in vectors]
         terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
         weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         owner = np.repeat(np.arange(len(vectors)), sizes)
         by_term = np.lexsort((owner, terms))
         self.owner, self.weights = owner[by_term], weights[by_term]
-        self.starts = np.searchsorted(terms[by_term], np.arange(len(idf) + 1))
         self.blocks = -(-len(vectors) // BLOCK)
         self.most = np.zeros((len(idf), self.blocks))
         np.maximum.at(self.most, (terms, owner // BLOCK), weights)
+        # Where the postings of a term in a block begin; they end where the next begin.
+        keys = terms[by_term] * self.blocks + self.owner // BLOCK
+        self.starts = np.searchsorted(keys, np.arange(len(idf) * self.blocks + 1))
         none = np.array(sizes) == 0 if sizes else np.zeros(0, bool)
         self.empty_vote = (self.labels[none].sum() + 0.5) / (none.sum() + 1.0)
         self.middle = (self.labels.sum() + 0.5) / (len(self.labels) + 1.0)
@@ -128,25 +134,23 @@ class Examples:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples, exact; ``skip`` is left out."""
-        none = np.zeros(0, np.int64), np.zeros(0)
+        found, cosines = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.blocks:
-            return none
+            return found, cosines
         bounds = weights @ self.most[terms]
-        visit = np.argsort(-bounds, kind="stable")
-        lists = [(self.owner[a:b], self.weights[a:b]) for a, b in zip(self.starts[terms], self.starts[terms + 1], strict=True)]
-        found, cosines = none
-        for block in visit:
-            if bounds[block] <= 0 or (len(found) == k and bounds[block] < cosines[-1] - 1e-12):
+        for block in np.argsort(-bounds, kind="stable"):
+            if bounds[block] <= 0 or (len(found) == k and bounds[block] <= cosines[-1]):
                 break
             low, scores = block * BLOCK, np.zeros(BLOCK)
-            for weight, (owner, own) in zip(weights, lists, strict=True):
-                a, b = np.searchsorted(owner, (low, low + BLOCK))
-                scores[owner[a:b] - low] += weight * own[a:b]
+            firsts = terms * self.blocks + block
+            for weight, a, b in zip(weights, self.starts[firsts], self.starts[firsts + 1], strict=True):
+                if b > a:
+                    scores[self.owner[a:b] - low] += weight * self.weights[a:b]
             if low <= skip < low + BLOCK:
                 scores[skip - low] = 0
-            hit = np.flatnonzero(scores > 0)
+            hit = np.flatnonzero(scores > (cosines[-1] if len(found) == k else 0))
             found, cosines = np.concatenate([found, hit + low]), np.concatenate([cosines, scores[hit]])
-            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
+            best = np.argsort(-cosines, kind="stable")[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines
 
@@ -155,11 +159,7 @@ class Examples:
     ) -> tuple[float, np.ndarray, np.ndarray]:
         """Distance-weighted share of label 1 among the nearest, their numbers and cosines."""
         terms, weights = self.vector(terms, counts)
-        skip = -1
-        if own_id is not None:
-            at = int(np.searchsorted(self.ids, own_id))
-            skip = at if at < len(self.ids) and self.ids[at] == own_id else -1
-        found, cosines = self.nearest(terms, weights, k, skip)
+        found, cosines = self.nearest(terms, weights, k, self.place.get(own_id, -1))
         if not len(found):
             return float(self.empty_vote), found, cosines
         votes = 1 / (0.05 + np.sqrt(np.maximum(0, 2 - 2 * cosines)))

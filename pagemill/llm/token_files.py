@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END_ID = 2
-KEPT_CHUNKS = 150_000
+KEPT_CHUNKS = 400_000
+KEPT_CHARS = 64
 WRITTEN = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 LAYOUT = {
     "compression": "zstd",
@@ -59,17 +60,19 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        known = self.young
-        missing = {c for c in chunks if c not in known}
-        if missing:
-            if len(known) >= KEPT_CHUNKS:
-                self.old, self.young = known, {}
-                known, missing = self.young, set(chunks)
-            fresh = [c for c in missing if c not in self.old]
-            known.update((c, self.old[c]) for c in missing if c in self.old)
+        parts = list(map(self.young.get, chunks))
+        if None in parts:
+            missing = {c for c, p in zip(chunks, parts, strict=True) if p is None}
+            if len(self.young) >= KEPT_CHUNKS:
+                self.old, self.young = self.young, {}
+            known, old = self.young, self.old
+            fresh = [c for c in missing if c not in old]
             found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(fresh, found, strict=True))
-        return b"".join([known[c] for c in chunks])
+            made = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(fresh, found, strict=True)}
+            made.update((c, old[c]) for c in missing if c in old)
+            known.update((c, p) for c, p in made.items() if len(c) <= KEPT_CHARS)
+            parts = [made[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)

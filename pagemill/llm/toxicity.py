@@ -36,7 +36,7 @@ from .vocabulary import Kept
 
 FIT_ROWS = 16_000
 VOCABULARY = 8_192
-LEAST_Z, LEAST_ODDS = 4.0, 1.0
+LEAST_Z, LEAST_ODDS = 3.5, 1.0
 NEAREST = 15
 BLOCK = 64
 THRESHOLD = 0.7
@@ -67,7 +67,7 @@ def telling_terms(texts: DataFrame) -> list[str]:
     if not ones or not zeros:
         return []
     counted = texts.select("label", F.explode(distinct_terms(F.col("text"))).alias("term")).groupBy("term")
-    counted = counted.agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).where("a + b >= 5")
+    counted = counted.agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).where("a + b >= 4")
     odds = f"ln((a + 0.5D) / ({ones} - a + 0.5D)) - ln((b + 0.5D) / ({zeros} - b + 0.5D))"
     error = f"sqrt(1 / (a + 0.5D) + 1 / (b + 0.5D) + 1 / ({ones} - a + 0.5D) + 1 / ({zeros} - b + 0.5D))"
     told = counted.select("term", F.expr(odds).alias("odds"), F.expr(f"abs({odds}) / {error}").alias("z"))

@@ -44,6 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote; nothing may read them any more."""
+    for df in tables:
+        hadoop = df.sparkSession._jsc.hadoopConfiguration()
+        folders = {os.path.dirname(f) for f in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def reused(build):
     """Keep the Columns a function returns and hand them out again for the same arguments.
 

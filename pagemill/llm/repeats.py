@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .suffix_sort import repeated, sampled_boundaries
 
 LENGTH = 200
-KMER = 24
+KMER = 48
 CELL = 8
 PIECE_BYTES = 1 << 20
 SAMPLE_ROWS = 4096
@@ -48,7 +48,7 @@ U64 = np.uint64
 PLACES = (1 << 24) - 1
 ANCHORS = "doc_id long, tie long, first long, more int, at int, kmer long, whole long"
 CONTEXTS = "doc_id long, tie long, first long, more int, at int, single boolean, body binary"
-CELLS = "doc_id long, tie long, first long, more int, at int, single boolean, nearest int, core long, full long"
+CELLS = "id long, single boolean, nearest int, core long, full long"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -218,12 +218,12 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(some.column(c).take(places) for c in ("doc_id", "tie", "first", "more", "at", "single")),
+                    *(some.column(c).take(places) for c in ("id", "single")),
                     pa.array(near.astype(np.int32)),
                     pa.array(core),
                     pa.array(full),
                 ],
-                names=["doc_id", "tie", "first", "more", "at", "single", "nearest", "core", "full"],
+                names=["id", "single", "nearest", "core", "full"],
             )
 
 
@@ -255,56 +255,66 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     long_ = texts.where(F.octet_length("body") >= LENGTH)
     found = stored(long_.mapInArrow(_anchor_rows, ANCHORS), "anchors")
     twice = stored(found.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1").select("kmer"), "kmers")
-    met = stored(found.join(twice, "kmer"), "met")
+    met = found.join(twice, "kmer").withColumn("id", F.monotonically_increasing_id())
+    met = stored(met, "met")  # from here on the ids are fixed
+    discard(found, twice)
     # One anchor stands for all with an equal stretch.
-    place = F.struct("doc_id", "tie", "first", "more", "at")
-    wholes = met.groupBy("kmer", "whole").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    wholes = met.groupBy("kmer", "whole").agg(F.count("*").alias("n"), F.min("id").alias("stands"))
     wholes = stored(wholes, "wholes")
     mixed_ = wholes.groupBy("kmer").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
-    mixed_ = stored(mixed_.where("kinds > 1 and singles > 0").select("kmer"), "mixed")
-    as_whole = met.join(wholes.where("n > 1").select("kmer", "whole"), ["kmer", "whole"])
-    as_whole = as_whole.select("doc_id", "tie", F.struct("first", (F.col("first") + F.col("more")).alias("last")).alias("span"))
+    mixed_ = stored(mixed_.where("kinds > 1 and singles > 0").select("kmer", F.lit(True).alias("mixed")), "mixed")
+    status = stored(wholes.join(mixed_, "kmer", "left").where("n > 1 or mixed"), "status")
+    status = status.select("kmer", "whole", "n", "stands", "mixed")
+    met_ = stored(met.join(status, ["kmer", "whole"]).drop("kmer", "whole"), "judged")
+    discard(met, wholes, mixed_, status)
+    as_whole = met_.where("n > 1").select(
+        "doc_id", "tie", F.struct("first", (F.col("first") + F.col("more")).alias("last")).alias("span")
+    )
 
-    asked = wholes.join(mixed_, "kmer").select("place.*", (F.col("n") == 1).alias("single"))
+    asked = met_.where("mixed and id = stands").withColumn("single", F.col("n") == 1)
     asked = asked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "more", "at", "single")).alias("asked"))
     wanted = long_.join(asked, same_document(long_, asked)).select(asked["doc_id"], asked["tie"], "body", "asked")
-    contexts = stored(wanted.mapInArrow(_context_rows, CONTEXTS), "contexts")
+    contexts = wanted.mapInArrow(_context_rows, CONTEXTS).withColumn("id", F.monotonically_increasing_id())
+    contexts = stored(contexts, "contexts")
 
-    cells = contexts.mapInArrow(_cell_rows, CELLS)
-    here = F.struct("doc_id", "tie", "first")
+    cells = contexts.select("id", "more", "at", "single", "body").mapInArrow(_cell_rows, CELLS)
     fulls = cells.groupBy("core", "full").agg(
-        F.count("*").alias("n"), F.min(here).alias("stands"), F.max("single").alias("single")
+        F.count("*").alias("n"), F.min("id").alias("stands"), F.max("single").alias("single")
     )
     fulls = stored(fulls, "fulls")
     cores = fulls.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if((F.col("n") == 1) & F.col("single")).alias("open"))
     cores = stored(cores.where("kinds > 1 and open > 0").select("core", F.lit(True).alias("open")), "cores")
-    judged = stored(fulls.join(cores, "core", "left").where("n > 1 or open"), "judged")
-    known = cells.join(judged.select("core", "full", "n", "stands", "open"), ["core", "full"])
+    decided = stored(fulls.join(cores, "core", "left").where("(n > 1 and single) or open"), "decided")
+    known = cells.join(decided.select("core", "full", "n", "stands", "open"), ["core", "full"]).drop("core", "full")
     known = stored(known, "cells")
-    farthest = F.least(F.floor(F.col("nearest") / CELL) * CELL + CELL - 1, F.col("at"))
+    discard(fulls, cores, decided)
+    by_id = known.groupBy("id").agg(F.collect_list(F.struct("nearest", "n", "open", "stands")).alias("cells"))
+    told = stored(contexts.join(by_id, "id"), "told")
+    discard(contexts, known)
+    whole_cells = told.where("single").select("doc_id", "tie", "first", "at", F.explode(F.filter("cells", lambda c: c["n"] > 1)).alias("c"))
+    nearest = F.col("c.nearest")
+    farthest = F.least(F.floor(nearest / CELL) * CELL + CELL - 1, F.col("at"))
     span = F.struct(
         (F.col("first") + F.col("at") - farthest).cast("long").alias("first"),
-        (F.col("first") + F.col("at") - F.col("nearest")).cast("long").alias("last"),
+        (F.col("first") + F.col("at") - nearest).cast("long").alias("last"),
     )
-    by_cell = known.where("single and n > 1").select("doc_id", "tie", span.alias("span"))
-
-    stands = (F.col("n") == 1) | F.struct("doc_id", "tie", "first").eqNullSafe(F.col("stands"))
-    unclear = known.where(F.col("open") & stands)
-    unclear = unclear.groupBy("doc_id", "tie", "first").agg(F.collect_list(F.struct("nearest")).alias("cells"))
-    to_sort = contexts.join(unclear, same_document(contexts, unclear) & (contexts["first"] == unclear["first"]))
-    to_sort = to_sort.select(*(contexts[c] for c in contexts.columns), "cells")
-    spark = documents.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = repeated(to_sort, _cell_windows, sampled_boundaries(_sample(contexts), partitions))
+    by_cell = whole_cells.select("doc_id", "tie", span.alias("span"))
+
+    unclear = F.filter("cells", lambda c: c["open"] & ((c["n"] == 1) | (c["stands"] == F.col("id"))))
+    to_sort = told.withColumn("cells", unclear).where(F.size("cells") > 0)
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = repeated(to_sort, _cell_windows, sampled_boundaries(_sample(to_sort), partitions))
     by_window = places.select("doc_id", "tie", F.struct("start", F.col("start").alias("last")).alias("span"))
     spans = as_whole.unionAll(by_cell).unionAll(by_window)
-    return spans.groupBy("doc_id", "tie").agg(F.collect_set("span").alias("spans"))
+    spans = stored(spans.groupBy("doc_id", "tie").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(met_, told)
+    return spans
 
 
 def _sample(contexts: DataFrame) -> list[bytes]:
     """Beginnings of windows, from about ``SAMPLE_ROWS`` stretches; they only balance the ranges."""
     every = max(1, contexts.count() // SAMPLE_ROWS)
-    some = contexts.where(F.pmod(F.xxhash64("doc_id", "tie", "first"), F.lit(every)) == 0)
+    some = contexts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
     rows = some.select(F.substring("body", 1, 24).alias("a"), F.expr("substring(body, more + 1, 24)").alias("b")).collect()
     return [bytes(x) for row in rows for x in row]
 

@@ -104,8 +104,9 @@ def has_word(t: Column) -> Column:
     return t.rlike(r"[\p{L}\p{N}]")
 
 
-def truncate(t: Column, n: int) -> Column:
-    return F.substring(t, 1, n)
+def truncate(t: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all of them."""
+    return t if n is None else F.substring(t, 1, n)
 
 
 def alt_state(alt: Column) -> Column:
@@ -136,12 +137,19 @@ def selector_class_suffix(classes: Column) -> Column:
     return F.array_join(F.transform(valid, lambda c: F.concat(F.lit("."), c)), "")
 
 
-def ordered_distinct_text(cleaned: Column, sep: str = " | ", cap: int = 400) -> Column:
-    """Distinct non-empty texts in order of first use, joined and cut; the texts must be clean."""
+def ordered_distinct_text(cleaned: Column, sep: str = " | ", cap: int | None = None) -> Column:
+    """Distinct non-empty texts in order of first use, joined; the texts must be clean."""
     cleaned = F.filter(cleaned, lambda s: s != "")
     return truncate(F.array_join(F.array_distinct(cleaned), sep), cap)
 
 
+def _number(digits: Column, base: int) -> Column:
+    """A number of any length; those too long for a character become one that is no character."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    value = F.when(bare == "", "0").otherwise(F.conv(bare, base, 10)).try_cast("bigint")
+    return F.when(F.length(bare) > 8, F.lit(0x110000).cast("bigint")).otherwise(value)
+
+
 def _code_point(n: Column) -> Column:
     ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
@@ -149,15 +157,15 @@ def _code_point(n: Column) -> Column:
 
 def _entity(piece: Column) -> Column:
     named = F.from_json(
-        F.lit(json.dumps({n: chr(c) for n, c in name2codepoint.items()})), "map<string,string>"
+        F.lit(json.dumps({n: chr(c) for n, c in {**name2codepoint, "apos": 39}.items()})), "map<string,string>"
     )
     body = F.regexp_replace(piece, "^&|;$", "")
     return (
         F.when(
             piece.rlike("^&#[xX]"),
-            _code_point(F.conv(F.substring(body, 3, 12), 16, 10).try_cast("bigint")),
+            _code_point(_number(F.regexp_replace(body, "^#[xX]", ""), 16)),
         )
-        .when(piece.rlike("^&#[0-9]"), _code_point(F.substring(body, 2, 12).try_cast("bigint")))
+        .when(piece.rlike("^&#[0-9]"), _code_point(_number(F.regexp_replace(body, "^#", ""), 10)))
         .when(piece.rlike("^&[A-Za-z]"), F.coalesce(named[body], piece))
         .otherwise(piece)
     )

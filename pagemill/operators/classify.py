@@ -35,11 +35,14 @@ INTERACTIVE = r"(?i)<(?:a|input|button|select|textarea)\b"
 # ---------------------------------------------------------------- pages and responses
 
 
-def is_blocked(html: Column) -> Column:
-    """Does the title or the first 4,000 characters hold a phrase of a block page?"""
+def is_blocked(html: Column, within: int | None = None) -> Column:
+    """Does the page hold a phrase of a block page; with ``within``, its title or that many of its
+    first characters?"""
+    phrases = "|".join(BLOCK_PHRASES)
+    if within is None:
+        return F.lower(html).rlike(phrases)
     title = F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    head = F.lower(F.substring(html, 1, 4000))
-    return F.concat(title, head).rlike("|".join(BLOCK_PHRASES))
+    return F.concat(title, F.lower(F.substring(html, 1, within))).rlike(phrases)
 
 
 def visible_length(html: Column) -> Column:

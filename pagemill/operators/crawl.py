@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def crawl(
     seeds: str,
     edges: DataFrame,
     fetched: DataFrame,
-    max_pages: int = 200,
+    max_pages: int | None = None,
     same_host: bool = True,
     disallowed: DataFrame | None = None,
 ) -> DataFrame:
@@ -50,7 +52,7 @@ def crawl(
 
     ``edges`` has ``src_url, dst_url, pos``; ``fetched`` the URLs (``url``) that answer;
     ``disallowed`` those that robots.txt forbids.  URLs that do not answer or are forbidden are
-    seen but neither counted nor followed.  The walk ends after ``max_pages`` pages.
+    seen but neither counted nor followed.  The walk ends after ``max_pages`` pages, if given.
 
     One round per depth.  The round's new URLs are the targets of the last round's pages without
     the URLs seen before, each with its smallest (parent's number, position); tasks keep one row
@@ -80,12 +82,14 @@ def crawl(
     seen: list[DataFrame] = []
     depth, total = 0, 0
     live = stored(live.withColumn("live", F.lit(True)), "crawl-live")
-    while total < max_pages:
+    while max_pages is None or total < max_pages:
         marked = fresh.join(live, "url", "left").withColumn("live", F.col("live").isNotNull())
         kept, visited, found = _numbered(marked, total)
         if found == 0:
             break
-        visited = visited.where(F.col("visit_no") <= max_pages).withColumn("depth", F.lit(depth))
+        if max_pages is not None:
+            visited = visited.where(F.col("visit_no") <= max_pages)
+        visited = visited.withColumn("depth", F.lit(depth))
         seen.append(kept.select("url"))
         rounds.append(visited)
         if len(rounds) > MERGE_EVERY:
@@ -114,18 +118,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def paginate(
     starts: DataFrame,
     next_links: DataFrame,
-    max_pages: int = 1,
+    max_pages: int | None = None,
     disallowed: DataFrame | None = None,
     ignore_robots: bool = False,
 ) -> DataFrame:
     """Follow ``next_url`` from every start: ``start, page_no, url``.
 
-    ``starts`` has ``url``; ``next_links`` has ``url, next_url``.  A chain ends at ``max_pages``,
+    ``starts`` has ``url``; ``next_links`` has ``url, next_url``.  A chain ends at ``max_pages``, if given,
     at a page without next, at a page it has been to, and for a start that is a single document.
     A forbidden first page is read all the same; a later one ends the chain, unless
     ``ignore_robots``.  All chains move together, one join per step; each round is stored.
     """
-    max_pages = max(1, max_pages)
     local = is_single_document(F.col("start"))
     barred = None
     if disallowed is not None and not ignore_robots:
@@ -141,7 +144,9 @@ def paginate(
     )
     steps = [step.drop("seen")]
     follow = next_links.where("next_url is not null and next_url != ''").select("url", "next_url")
-    for page_no in range(2, max_pages + 1):
+    for page_no in count(2):
+        if max_pages is not None and page_no > max(1, max_pages):
+            break
         moved = (
             salted_join(step.where(~local), follow, "url", "inner")
             .where(~F.array_contains("seen", F.col("next_url")))

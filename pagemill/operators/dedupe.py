@@ -14,7 +14,7 @@ def fingerprint(link: Column, image: Column, title: Column, price: Column, text:
         F.when(link != "", F.concat(url_netloc(link), url_path(link)))
         .when((image != "") & (title != ""), F.concat(image, F.lit("|"), title))
         .when(title != "", F.concat(title, F.lit("|"), price))
-        .otherwise(F.substring(text, 1, 200))
+        .otherwise(text)
     )
     return F.substring(F.sha1(key), 1, 16)
 

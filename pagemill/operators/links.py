@@ -62,7 +62,7 @@ def broken_links(responses: DataFrame) -> DataFrame:
         F.when(broken, "High").otherwise("Medium").alias("severity"),
         F.when(broken, "Broken link").otherwise("Link check failed").alias("check"),
         F.concat("status", F.lit(" ("), "detail", F.lit(")")).alias("detail"),
-        F.substring("href", 1, 120).alias("where"),
+        F.col("href").alias("where"),
     )
 
 

@@ -66,8 +66,8 @@ def text_rules() -> list[Column]:
 
 
 @reused
-def row_rules() -> list[Column]:
-    return [image_issues(F.col("images")), *link_issues(F.col("links"))]
+def row_rules(shown: int | None = None) -> list[Column]:
+    return [image_issues(F.col("images"), shown), *link_issues(F.col("links"), shown)]
 
 
 @reused
@@ -145,10 +145,13 @@ def qa_header(pages: DataFrame) -> DataFrame:
     return doc.select("page_id", F.inline(numbered(text_rules())))
 
 
-def qa_rows(pages: DataFrame) -> DataFrame:
-    """Only the image and link rules: no element tree, no Python."""
+def qa_rows(pages: DataFrame, shown: int | None = None) -> DataFrame:
+    """Only the image and link rules: no element tree, no Python.
+
+    With ``shown``, that many of a kind for each page and one row that counts the others.
+    """
     doc = once(with_visible(pages), ["page_id"], images=images_column(), links=links_column())
-    return doc.select("page_id", F.inline(numbered(row_rules())))
+    return doc.select("page_id", F.inline(numbered(row_rules(shown))))
 
 
 def qa_elements(pages: DataFrame) -> DataFrame:

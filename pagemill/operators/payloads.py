@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip_json_fences, truncate
+from ..functions.text import let, strip_json_fences
 
-# Key names per field, in order of preference, and field lengths.
+# Key names per field, in order of preference.
 FIELD_NAMES = {
     "title": ["title", "name", "product_name", "heading", "headline"],
     "price": ["price", "cost", "amount", "value"],
@@ -17,7 +17,6 @@ FIELD_NAMES = {
     "image": ["image", "img", "image_url", "thumbnail", "photo"],
     "text": ["description", "text", "summary", "body", "content"],
 }
-FIELD_CAPS = {"title": 200, "price": 50, "link": 500, "image": 500, "text": 400}
 FALSY = r'^\s*(\{\s*\}|\[\s*\]|""|-?0(\.0*)?|false|null)\s*$'
 VARIANTS = "array<variant>"
 OBJECT = "map<string,variant>"
@@ -141,10 +140,7 @@ def item_rows(rows: Column, field_map: dict[str, str] | None, max_items: int | N
                 chosen,
                 lambda m, i: F.struct(
                     (i + 1).cast("int").alias("index"),
-                    *[
-                        truncate(get_by_path(m, k[f]), cap).alias(f)
-                        for f, cap in FIELD_CAPS.items()
-                    ],
+                    *[get_by_path(m, k[f]).alias(f) for f in FIELD_NAMES],
                 ),
             )
 
@@ -157,11 +153,15 @@ def items_from_json(
     payloads: DataFrame,
     path: str = "",
     field_map: dict[str, str] | None = None,
-    max_items: int = 1000,
+    max_items: int | None = None,
     body: str = "body",
 ) -> DataFrame:
     """Items of each payload's list at ``path``: other columns, index, title, price, link, image,
-    text.  Without ``field_map`` the keys are guessed from the first object of the payload."""
+    text.  Without ``field_map`` the keys are guessed from the first object of the payload.  All
+    items of a payload are returned unless ``max_items`` is given.
+
+    Of a key that an object has twice the last value counts where the session sets
+    ``spark.sql.variant.allowDuplicateKeys``; else the payload is in ``rejected_payloads``."""
     text = F.col(body)
     value = F.when(~text.rlike(FALSY), F.try_parse_json(text))
     kept = [c for c in payloads.columns if c != body]
@@ -170,6 +170,14 @@ def items_from_json(
     return parsed.select(*kept, F.inline(items))
 
 
+def rejected_payloads(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Other columns and body of the payloads that can't be read as JSON: no JSON, repeated keys
+    where the session doesn't allow them, or more than a VARIANT holds."""
+    text = F.col(body)
+    unread = text.isNull() | F.try_parse_json(text).isNull()
+    return payloads.where(unread & ~F.coalesce(text.rlike(FALSY), F.lit(False)))
+
+
 def json_field_map(payloads: DataFrame, path: str = "", body: str = "body") -> DataFrame:
     """The guessed key of every field, one row per payload and field."""
     kept = [c for c in payloads.columns if c != body]

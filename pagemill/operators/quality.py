@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import VOID_TAGS, inside, non_empty, text_of
 from ..functions.selectors import matcher
-from ..functions.text import clean, let, truncate
+from ..functions.text import clean, let
 from .records import by_tag
 
 # Fixed values.
 PLACEHOLDERS = ["#", "javascript:void(0)", "javascript:;"]
 UNLABELLED_TYPES = ["hidden", "submit", "button", "reset", "image"]
-SHOWN_PER_PAGE = 15
 ISSUE_TYPE = "array<struct<severity:string,`check`:string,detail:string,`where`:string>>"
 
 
@@ -29,7 +28,7 @@ def issue(severity, check, detail, where="") -> Column:
         col(severity).alias("severity"),
         col(check).alias("check"),
         col(detail).alias("detail"),
-        truncate(F.coalesce(col(where), F.lit("")), 120).alias("where"),
+        F.coalesce(col(where), F.lit("")).alias("where"),
     )
 
 
@@ -84,31 +83,31 @@ def heading_issues(headings: Column) -> Column:
 # ---------------------------------------------------------------- images, links
 
 
-def _shown_with_rest(rows: Column, severity: str, check: str, detail: str, where) -> Column:
-    """The first few as they are, and one row that counts the others."""
+def _shown_with_rest(rows: Column, shown: int | None, severity: str, check: str, detail: str, where) -> Column:
+    """All of them, or the first ``shown`` and one row that counts the others."""
+    if shown is None:
+        return one_each(rows, lambda r: issue(severity, check, detail, where(r)))
 
     def listed(found: Column) -> Column:
-        more = F.size(found) - SHOWN_PER_PAGE
+        more = F.size(found) - shown
         return F.concat(
-            F.transform(
-                F.slice(found, 1, SHOWN_PER_PAGE), lambda r: issue(severity, check, detail, where(r))
-            ),
+            F.transform(F.slice(found, 1, shown), lambda r: issue(severity, check, detail, where(r))),
             when_issue(more > 0, severity, check, F.format_string("... +%d more.", more)),
         )
 
     return let(rows, listed)
 
 
-def image_issues(images: Column) -> Column:
+def image_issues(images: Column, shown: int | None = None) -> Column:
     return _shown_with_rest(
-        F.filter(images, lambda i: i.alt_state == "missing"),
+        F.filter(images, lambda i: i.alt_state == "missing"), shown,
         "Medium", "Image without alt", "<img> has no alt.", lambda i: i.src,
     )
 
 
-def link_issues(links: Column) -> list[Column]:
+def link_issues(links: Column, shown: int | None = None) -> list[Column]:
     nameless = _shown_with_rest(
-        F.filter(links, lambda a: a.text == ""),
+        F.filter(links, lambda a: a.text == ""), shown,
         "Medium", "Link without accessible name", "No text / aria-label / img alt.", lambda a: a.href,
     )
     held = F.size(
@@ -129,7 +128,7 @@ def link_issues(links: Column) -> list[Column]:
 
 
 def snippet(tokens: Column, t: Column) -> Column:
-    """Start of the element's markup."""
+    """The element's markup."""
 
     def shown(c: Column) -> Column:
         attrs = F.transform(
@@ -147,7 +146,7 @@ def snippet(tokens: Column, t: Column) -> Column:
         )
 
     part = F.slice(tokens, t.pos + 1, t.end - t.pos + 1)
-    return truncate(clean(F.array_join(F.transform(part, shown), "")), 120)
+    return clean(F.array_join(F.transform(part, shown), ""))
 
 
 def _given(value: Column) -> Column:

@@ -28,12 +28,11 @@ from ..functions.text import (
     price,
     selector_class_suffix,
     strip_ws,
-    truncate,
 )
 from ..functions.urls import is_http, url_parts, url_resolve
 from ..session import reused
 from .classify import detect_cms_column
-from .presets import PRESETS, get_preset
+from .presets import PRESETS, selector_of
 from .rows import image_source, named_text
 
 # Fixed values.
@@ -258,40 +257,24 @@ def first_priced(sub: Column) -> Column:
     return first(F.filter(sub, lambda t: F.lower(t.attrs["class"]).contains("price")))
 
 
-def _by_preset(preset: Column | str, option, empty: Column) -> Column:
-    """``option(p)`` of the row's preset; one branch when the preset is given by name."""
+def preset_hits(preset, field: str, tokens: Column, within: Column | None = None) -> Column:
+    """Tokens matching one selector field of a preset; platforms with equal selectors share a branch."""
+    empty = F.array().cast(NO_TOKENS)
+
+    def hits(selector: str) -> Column:
+        return select(tokens, selector, within) if selector else empty
+
     if isinstance(preset, str):
-        return option(get_preset(preset)) if preset else empty
-    branches = {}
-    for p in PRESETS.values():
-        branches.setdefault(option_key(option, p), []).append(p)
+        return hits(selector_of(preset, field)) if preset else empty
+    platforms: dict[str, list[str]] = {}
+    for name, row in PRESETS.items():
+        platforms.setdefault(row[field], []).append(name)
     chosen = F.when(F.lit(False), empty)
-    for same in branches.values():
-        chosen = chosen.when(preset.isin([p.name for p in same]), option(same[0]))
+    for selector, names in platforms.items():
+        chosen = chosen.when(preset.isin(names), hits(selector))
     return chosen.otherwise(empty)
 
 
-def option_key(option, p) -> str:
-    return getattr(p, option.field)
-
-
-class _Hits:
-    """Tokens matching one selector field of a preset."""
-
-    def __init__(self, field: str, tokens: Column, within: Column | None):
-        self.field, self.tokens, self.within = field, tokens, within
-
-    def __call__(self, p) -> Column:
-        selector = getattr(p, self.field)
-        if not selector:
-            return F.array().cast(NO_TOKENS)
-        return select(self.tokens, selector, self.within)
-
-
-def preset_hits(preset, field: str, tokens: Column, within: Column | None = None) -> Column:
-    return _by_preset(preset, _Hits(field, tokens, within), F.array().cast(NO_TOKENS))
-
-
 def item_struct(tokens: Column, base: Column, n: Column, index: Column, preset) -> Column:
     """One item from the element at token ``n``."""
 
@@ -322,7 +305,7 @@ def item_struct(tokens: Column, base: Column, n: Column, index: Column, preset)
         src = let(image_source(img.attrs), lambda s: F.when(s != "", s).otherwise(from_set))
         return F.struct(
             index.cast("int").alias("index"),
-            truncate(pick_title(sub, start, hits("title_selector")), 200).alias("title"),
+            pick_title(sub, start, hits("title_selector")).alias("title"),
             price(priced).alias("price"),
             let(
                 href,
@@ -408,7 +391,7 @@ def found_document(pages: DataFrame, preset: str, item_selector: str, min_items:
     if preset == AUTO:
         columns["preset"] = detect_cms_column(F.col("html")).preset
     elif preset:
-        get_preset(preset)
+        selector_of(preset, "item_selector")
     if item_selector:
         matcher(item_selector)
     return with_document(pages, min_items, **columns)
@@ -416,10 +399,10 @@ def found_document(pages: DataFrame, preset: str, item_selector: str, min_items:
 
 def _wanted(preset) -> Column:
     if isinstance(preset, str):
-        return F.lit(get_preset(preset).item_selector if preset else "")
+        return F.lit(selector_of(preset, "item_selector") if preset else "")
     wanted = F.lit("")
-    for p in PRESETS.values():
-        wanted = F.when(preset == p.name, p.item_selector).otherwise(wanted)
+    for name, row in PRESETS.items():
+        wanted = F.when(preset == name, row["item_selector"]).otherwise(wanted)
     return wanted
 
 
@@ -470,7 +453,7 @@ def product_column() -> Column:
             price(text('[class*="price" i]')).alias("price"),
             page_url.alias("link"),
             F.coalesce(url_resolve(base, first(pictures)), F.lit("")).alias("image"),
-            truncate(text('[class*="description" i], #description'), 400).alias("text"),
+            text('[class*="description" i], #description').alias("text"),
         )
     )
 
@@ -506,7 +489,7 @@ def book_cards_column() -> Column:
                 ).alias("price"),
                 let(a.attrs["href"], resolved).alias("link"),
                 let(img.attrs["src"], resolved).alias("image"),
-                truncate(text_of(sub), 400).alias("text"),
+                text_of(sub).alias("text"),
             )
 
         return let(inside(tokens, n), build)
@@ -640,6 +623,6 @@ def next_column(name: str = "") -> Column:
 def find_next(pages: DataFrame, preset: str = "") -> DataFrame:
     """``page_id, next_url`` with '' where a page has no next one."""
     if preset:
-        get_preset(preset)
+        selector_of(preset, "next_selector")
     found = F.coalesce(next_column(preset), F.lit(""))
     return with_document(pages).select("page_id", found.alias("next_url"))

@@ -21,7 +21,7 @@ from ..functions.markup import (
     start_tags,
     visible,
 )
-from ..functions.text import alt_state, clean, collapse_ws, has_word, let, strip_ws, truncate
+from ..functions.text import alt_state, clean, collapse_ws, has_word, let, strip_ws
 from ..functions.urls import url_netloc, url_parts, url_resolve
 from ..session import reused
 
@@ -150,7 +150,7 @@ def images_column() -> Column:
     def row(r: Column, i: Column) -> Column:
         return F.struct(
             (i + 1).cast("int").alias("pos"),
-            F.when((r.src == "") | r.src.startswith("data:"), truncate(r.src, 60))
+            F.when((r.src == "") | r.src.startswith("data:"), r.src)
             .otherwise(url_resolve(base, r.src))
             .alias("src"),
             F.coalesce(r.a["alt"], F.lit("")).alias("alt"),

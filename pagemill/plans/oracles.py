@@ -6,6 +6,7 @@ never parses that markup.  Queries on the given pages use regular expressions of
 
 from __future__ import annotations
 
+from ..operators.classify import BLOCK_PHRASES, HARD_SITES
 from ..operators.presets import PRESETS
 
 ORACLES: dict[str, str] = {}
@@ -92,7 +93,7 @@ FROM menus WHERE lens[n // 2 + 1] >= 8"""
 
 QA_HEADER = """
 SELECT page_id, 'High' AS severity, 'Missing <title>' AS "check", 'Page has no title.' AS detail, '' AS "where" FROM header WHERE title = ''
-UNION ALL SELECT page_id, 'Low', 'Long <title>', length(title) || ' chars.', title[:120] FROM header WHERE length(title) > 70
+UNION ALL SELECT page_id, 'Low', 'Long <title>', length(title) || ' chars.', title FROM header WHERE length(title) > 70
 UNION ALL SELECT page_id, 'Medium', 'Missing meta description', 'No <meta name=description>.', '' FROM header WHERE description = ''
 UNION ALL SELECT page_id, 'Low', 'Missing lang attribute', '<html> has no lang.', '' FROM header WHERE lang = ''
 UNION ALL SELECT page_id, 'Medium', 'No <h1>', 'Page has no top-level heading.', '' FROM header WHERE n_h1 = 0
@@ -105,13 +106,10 @@ ORACLES["qa_summary"] = (
     f"WITH {GIVEN_HEADER} SELECT severity, count(*) AS n FROM ({QA_HEADER}) GROUP BY severity"
 )
 
-BLOCKED = (
-    "just a moment|access denied|attention required|verify you are human|are you a robot|captcha|"
-    "request blocked|pardon our interruption|403 forbidden"
-)
+BLOCKED = "|".join(BLOCK_PHRASES)
 FLAGS = f"""flags AS (
   SELECT page_id,
-    regexp_matches(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1) || html[:4000]), '{BLOCKED}') AS blocked,
+    regexp_matches(lower(html), '{BLOCKED}') AS blocked,
     len(regexp_extract_all(html, '(?i)<(?:a|input|button|select|textarea)\\b')) < 5
       AND length(trim(regexp_replace({unescape(no_tags("body"))}, '{WS}+', ' ', 'g'))) < 200 AS thin
   FROM seen JOIN pages USING (page_id, url))"""
@@ -150,7 +148,7 @@ each_line AS (SELECT doc_id, i, {clean("parts[i]")} AS line
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)),
 firsts AS (SELECT doc_id, line, min(i) AS i FROM each_line WHERE line != '' GROUP BY ALL),
 joined AS (SELECT doc_id, string_agg(line, ' | ' ORDER BY i) AS lines FROM firsts GROUP BY doc_id)
-SELECT doc_id, coalesce(lines, '')[:400] AS lines FROM documents LEFT JOIN joined USING (doc_id)"""
+SELECT doc_id, coalesce(lines, '') AS lines FROM documents LEFT JOIN joined USING (doc_id)"""
 LABELS = (
     "^(add to (cart|bag|basket)|view( product| details| more)?|buy( now)?|read more|learn more|"
     "details|more|shop now|quick view|see more|select options|sign ?up|log ?in)$"
@@ -171,14 +169,10 @@ ORACLES["url_join"] = """SELECT p_partkey, CASE p_partkey % 8
   WHEN 6 THEN 'http://h.example.com:80/a/b' || p_partkey || '/c;p?q=' || p_partkey || '#s' || p_partkey
   ELSE 'http://h.example.com:80/a/b' || p_partkey || '/c;p?q=' || p_partkey || '#old' END AS url FROM part"""
 ORACLES["url_dedupe"] = "SELECT DISTINCT rtrim(split_part(url, '#', 1), '/') AS norm_url FROM pages"
-HARD = (
-    "amazon. linkedin.com facebook.com instagram.com twitter.com x.com tiktok.com zillow.com booking.com "
-    "airbnb.com tripadvisor.com yelp.com glassdoor.com indeed.com craigslist.org walmart.com target.com ebay.com"
-).split()
 ORACLES["known_hard"] = (
     "SELECT page_id, CASE "
     + " ".join(
-        f"WHEN contains(u, '{h}') THEN 'known anti-bot site ({h.rstrip('.')})'" for h in HARD
+        f"WHEN contains(u, '{h}') THEN 'known anti-bot site ({h.rstrip('.')})'" for h in HARD_SITES
     )
     + " ELSE '' END AS reason FROM (SELECT page_id, lower(replace(url, 'example', 'amazonx')) AS u FROM pages)"
 )
@@ -204,8 +198,8 @@ ORACLES["preset_items"] = f"""SELECT p_partkey // 3 AS page_id, CAST(p_partkey %
   p_name || ' ' || p_partkey AS title, {money("p_retailprice")} AS price,
   '{SHOP}/products/' || p_partkey AS link FROM part"""
 ORACLES["item_selectors"] = f"""SELECT page_id, CAST(n AS INTEGER) AS n_items, CASE page_id % 3
-  WHEN 0 THEN '{PRESETS["shopify"].item_selector}  (preset:shopify)'
-  WHEN 1 THEN '{PRESETS["woocommerce"].item_selector}  (preset:woocommerce)'
+  WHEN 0 THEN '{PRESETS["shopify"]["item_selector"]}  (preset:shopify)'
+  WHEN 1 THEN '{PRESETS["woocommerce"]["item_selector"]}  (preset:woocommerce)'
   ELSE 'html > body > div > p.box' END AS selector
 FROM (SELECT p_partkey // 3 AS page_id, count(*) AS n FROM part GROUP BY 1)"""
 
@@ -215,12 +209,12 @@ def _quoted(s: str) -> str:
 
 
 ORACLES["item_selectors"] = ORACLES["item_selectors"].replace(
-    f"'{PRESETS['shopify'].item_selector}", _quoted(PRESETS["shopify"].item_selector)[:-1]
+    f"'{PRESETS['shopify']['item_selector']}", _quoted(PRESETS["shopify"]["item_selector"])[:-1]
 )
 ORACLES["presets"] = (
     f"SELECT page_id, preset, item_selector, next_selector FROM ({ORACLES['detect_platforms']}) JOIN (VALUES "
     + ", ".join(
-        f"({_quoted(p.name)}, {_quoted(p.item_selector)}, {_quoted(p.next_selector)})" for p in PRESETS.values()
+        f"({_quoted(name)}, {_quoted(p['item_selector'])}, {_quoted(p['next_selector'])})" for name, p in PRESETS.items()
     )
     + ") v(name, item_selector, next_selector) ON preset = name"
 )
@@ -256,22 +250,32 @@ UNION ALL SELECT page_id, 'Medium', '{check}', '... +' || (count(*) - 15) || ' m
 FROM ({rows}) GROUP BY page_id HAVING count(*) > 15"""
 
 
-QA_ROWS = (
-    first_fifteen(
+def every_one(rows: str, check: str, detail: str) -> str:
+    return f"""SELECT page_id, 'Medium' AS severity, '{check}' AS "check", '{detail}' AS detail, w AS "where"
+FROM ({rows})"""
+
+
+def row_issues(listed) -> str:
+    """Issues of images and links, each kind listed in full or not."""
+    images = (
         f"SELECT p_partkey // 40 AS page_id, p_partkey AS k, '{SHOP}/img/' || p_partkey || '.jpg' AS w "
-        "FROM part WHERE p_partkey % 2 = 0",
-        "Image without alt", "<img> has no alt.",
+        "FROM part WHERE p_partkey % 2 = 0"
     )
-    + " UNION ALL "
-    + first_fifteen(
+    links = (
         f"SELECT p_partkey // 40 AS page_id, p_partkey AS k, '{SHOP}/x/' || p_partkey AS w "
-        "FROM part WHERE p_partkey % 2 = 1",
-        "Link without accessible name", "No text / aria-label / img alt.",
+        "FROM part WHERE p_partkey % 2 = 1"
     )
-    + """ UNION ALL SELECT p_partkey // 40, 'Low', 'Placeholder links', count(*) || ' placeholder links.', ''
+    return (
+        listed(images, "Image without alt", "<img> has no alt.")
+        + " UNION ALL "
+        + listed(links, "Link without accessible name", "No text / aria-label / img alt.")
+        + """ UNION ALL SELECT p_partkey // 40, 'Low', 'Placeholder links', count(*) || ' placeholder links.', ''
 FROM part WHERE p_partkey % 2 = 0 GROUP BY 1"""
-)
-ORACLES["qa_rows"] = QA_ROWS
+    )
+
+
+QA_ALL_ROWS = row_issues(every_one)
+ORACLES["qa_rows"] = row_issues(first_fifteen)
 QA_ELEMENTS = """SELECT p_partkey // 40 AS page_id, 'Medium' AS severity, 'Button without accessible name' AS "check",
   'No text/aria-label/title.' AS detail, '<button class="b"></button>' AS "where" FROM part WHERE p_partkey % 5 = 0
 UNION ALL SELECT p_partkey // 40, 'Medium', 'Duplicate id', 'id="c' || p_partkey % 37 || '" used ' || count(*) || ' times.',
@@ -304,7 +308,7 @@ untitled AS (
   SELECT p_partkey // 40 AS page_id FROM part
   WHERE p_partkey % 2 = 1 GROUP BY 1 HAVING count(*) > 0)
 SELECT page_id, severity, "check", count(*) AS n FROM (
-  {QA_HEADER} UNION ALL {QA_ROWS} UNION ALL {QA_ELEMENTS}
+  {QA_HEADER} UNION ALL {QA_ALL_ROWS} UNION ALL {QA_ELEMENTS}
   UNION ALL SELECT page_id, 'Low', 'No prices detected', '', '' FROM blocks
   UNION ALL SELECT page_id, 'Medium', 'Duplicate item link', '', '' FROM blocks WHERE false
   UNION ALL SELECT page_id, 'Medium', 'Items without title', '', '' FROM untitled) GROUP BY ALL"""
@@ -378,7 +382,7 @@ ORACLES["check_links"] = f"""WITH {HREFS} SELECT page_id, pos, text, href, 'inte
 ORACLES["broken_links"] = f"""WITH {HREFS}, each_one AS (SELECT DISTINCT href, {ANSWER} AS a FROM hrefs)
 SELECT CAST(NULL AS BIGINT) AS page_id, CASE a[1] WHEN 'BROKEN' THEN 'High' ELSE 'Medium' END AS severity,
   CASE a[1] WHEN 'BROKEN' THEN 'Broken link' ELSE 'Link check failed' END AS "check",
-  a[1] || ' (' || a[2] || ')' AS detail, href[:120] AS "where" FROM each_one WHERE a[1] IN ('BROKEN', 'ERROR')"""
+  a[1] || ' (' || a[2] || ')' AS detail, href AS "where" FROM each_one WHERE a[1] IN ('BROKEN', 'ERROR')"""
 CANDIDATES = f"""WITH {HREFS}, firsts AS (SELECT href, min(struct_pack(p := page_id, q := pos)) AS spot FROM hrefs GROUP BY href)
 SELECT href, spot.p AS page_id, spot.q AS pos FROM firsts"""
 ORACLES["link_candidates"] = CANDIDATES
@@ -401,7 +405,7 @@ step AS (
   SELECT p_partkey AS start, 1 AS page_no, p_partkey AS k, [p_partkey] AS seen FROM part
   UNION ALL
   SELECT start, page_no + 1, t, list_append(seen, t) FROM (
-    SELECT *, CASE WHEN k % 9 = 4 THEN k - 1 ELSE k + 1 END AS t FROM step WHERE page_no < 6), n
+    SELECT *, CASE WHEN k % 9 = 4 THEN k - 1 ELSE k + 1 END AS t FROM step), n
   WHERE t <= last AND NOT list_contains(seen, t))
 SELECT 'https://chain.example.com/p/' || start AS start, CAST(page_no AS INTEGER) AS page_no,
   'https://chain.example.com/p/' || k AS url FROM step"""
@@ -431,10 +435,9 @@ ORACLES["pending_pages"] = "SELECT page_id, url FROM pages WHERE length(url) % 2
 ORACLES["latest_by_key"] = """SELECT user_id, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
 ORACLES["upsert_users"] = """WITH ranked AS (SELECT user_id, event_id, event_type FROM events
-  WHERE event_type IN ('view', 'click')
-  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id DESC) = 1)
 SELECT user_id, event_id, event_type FROM ranked
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'view') = 1"""
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 = 0) = 1"""
 ORACLES["stream_dedupe"] = (
     "SELECT DISTINCT sha1('e.example.com/u/' || user_id)[:16] AS fingerprint FROM events"
 )

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import pages as whole
 from pagemill.operators import records, rows
-from pagemill.operators.presets import get_preset, list_presets
+from pagemill.operators.presets import PRESETS, selector_of
 
 BOOKS = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>All
  books &amp; more</title><meta NAME="Description" content=" A demo "></head><body>
@@ -99,10 +99,10 @@ def test_selector_notes(books):
 
 
 def test_presets():
-    assert len(list_presets()) == 8 and list_presets() == sorted(list_presets())
-    assert get_preset("books").item_selector == "article.product_pod"
-    with pytest.raises(KeyError, match="books, generic, magento"):
-        get_preset("nope")
+    assert len(PRESETS) == 8
+    assert selector_of("books", "item_selector") == "article.product_pod"
+    with pytest.raises(ValueError, match="nope"):
+        selector_of("nope", "item_selector")
 
 
 def test_book_cards_and_product(books, page):

@@ -53,6 +53,7 @@ BLOCK_TAGS = [
     "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table",
     "ul",
 ]
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 # An open tag ends these open elements, but never looks past the given boundary elements.
 ENDS = {
     "li": (["li"], ["ul", "ol", "menu"]),
@@ -66,6 +67,7 @@ ENDS = {
     "tbody": (["tr", "thead", "tbody", "tfoot", "caption"], ["table"]),
     "tfoot": (["tr", "thead", "tbody", "tfoot", "caption"], ["table"]),
     "a": (["a"], ["table", "td", "th"]),
+    **dict.fromkeys(HEADINGS, (HEADINGS, ["table", "td", "th", "section", "article", "div"])),
     "body": (["head"], []),
 }
 P_BOUNDARY = ["td", "th", "table", "button", "div", "li", "object"]
@@ -74,7 +76,7 @@ RANK = {
     "div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5,
     "head": 6, "body": 6, "html": 7,
 }
-# Parents and children that never form a group of records.
+# Parents and children that never form a group of records.
 SKIP_PARENTS = [
     "html", "head", "script", "style", "svg", "table", "thead", "tbody", "tfoot", "tr",
     "select", "datalist", "colgroup",
@@ -325,10 +327,6 @@ def text_of(tokens: Column) -> Column:
     return F.trim(F.array_join(texts, " "))
 
 
-def attr(t: Column, name: str) -> Column:
-    return t.attrs[name]
-
-
 def non_empty(c: Column) -> Column:
     """Null when empty, so that ``coalesce`` takes the next one."""
     return F.when(c != "", c)

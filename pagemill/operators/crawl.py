@@ -158,7 +158,7 @@ def paginate(
             )
         )
         if barred is not None:
-            moved = salted_join(moved, barred, "url", "left_anti")
+            moved = moved.join(barred, "url", "left_anti")
         step = stored(moved, "pages")
         if step.isEmpty():
             break

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import salted_join
-
 
 def pending_pages(pages: DataFrame, done: DataFrame, url: str = "url") -> DataFrame:
     """Pages whose URL is not in ``done``."""
-    return salted_join(pages, done.select(url).distinct(), url, "left_anti").select(*pages.columns)
+    return pages.join(done.select(url), url, "left_anti").select(*pages.columns)
 
 
 def mark_done(batch: DataFrame, path: str, finished: bool = False) -> None:
@@ -37,4 +35,4 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: list[str]) ->
 
 
 def remove(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    return salted_join(table, gone.select(key).distinct(), key, "left_anti").select(*table.columns)
+    return table.join(gone.select(key), key, "left_anti").select(*table.columns)

@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+HEAVY_ROWS = 1_000_000
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = SALTS
+    left: DataFrame, right: DataFrame, key: str, how: str = "left", heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
-    """``left.join(right, key, how)`` for a ``right`` with few rows per key.
+    """``left.join(right, key, how)`` for a ``left`` with keys of very many rows and a ``right`` with
+    few rows for a key; for keys that are unique on the left use a plain join.
 
-    Each key of ``left`` is dealt over ``salts`` partitions by a hash of the row, and every row of
-    ``right`` is there in each of them; a task sees at most 1/salts of a hot key.  The hash is
-    repeatable, so a lost task can be run again.  ``how`` is left, inner, left_semi or left_anti.
-    Spark still broadcasts ``right`` by itself when its size at run time allows.
+    The rows of every key of ``left`` are counted, summed by task before the shuffle.  A key of more
+    than ``heavy_rows`` is cut in as many parts as its count asks for, by a hash of the row, and only
+    its rows of ``right`` are there once for each part; all other keys stay as they are.  The table
+    of heavy keys is broadcast: it has at most one row for ``heavy_rows`` rows of ``left``.  The hash
+    is repeatable, so a lost task can be run again.  ``how`` is left, inner, left_semi or left_anti.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    others = [c for c in left.columns if c != key]
-    salt = F.pmod(F.xxhash64(*others) if others else F.lit(0), F.lit(salts)).cast("int")
-    dealt = left.withColumn("_salt", salt)
-    copies = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    counts = left.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.count("*").alias("_n"))
+    heavy = counts.where((F.col("_n") > heavy_rows) & F.col("_key").isNotNull())
+    heavy = F.broadcast(heavy.select("_key", F.ceil(F.col("_n") / heavy_rows).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    others = [f"`{c}`" for c in left.columns if c != key]
+    hashed = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    dealt = left.join(heavy, left[key] == heavy["_key"], "left")
+    dealt = dealt.withColumn("_salt", F.pmod(hashed, parts).cast("int")).drop("_key", "_parts")
+    copies = right.join(heavy, right[key] == heavy["_key"], "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_key", "_parts")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")

@@ -36,7 +36,7 @@ def link_results(responses: DataFrame) -> DataFrame:
 def check_links(links: DataFrame, responses: DataFrame) -> DataFrame:
     """Fill status and detail of links from one response per href; '' where there is none.
 
-    The home page's link may be a third of all rows: the join deals every href over many tasks.
+    The home page's link may be a third of all rows: the join deals such an href over many tasks.
     """
     found = link_results(responses).select(
         "href", F.col("status").alias("_status"), F.col("detail").alias("_detail")

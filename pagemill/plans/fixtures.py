@@ -341,7 +341,11 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer for every link of the pages, by the length of its URL."""
-    hrefs = link_candidates(extract_links(pages(spark, sf_dir))).select("href")
+    return answers(link_candidates(extract_links(pages(spark, sf_dir))).select("href"))
+
+
+def answers(hrefs: DataFrame) -> DataFrame:
+    """An answer for every ``href``, by its length."""
     kind = F.length("href") % 5
     return hrefs.select(
         "href",

@@ -352,6 +352,21 @@ ORACLES["saved_tables"] = f"""SELECT n AS page, cards AS items, CAST(cards AS IN
 FROM ({PER_PAGE})"""
 ORACLES["manifest"] = f"""SELECT '{SHOP}/list/0' AS url, CAST(sum(cards) AS BIGINT) AS items,
   CAST(sum(cards + 2) AS BIGINT) AS links, '2.0' AS schema_version, true AS has_files FROM ({PER_PAGE})"""
+ORACLES["finished_items"] = MARKED
+FINISHED = f"""WITH listed AS (
+  SELECT p_partkey // 20 AS n, '{SHOP}/item/' || p_partkey AS href FROM part
+  UNION ALL SELECT 1000000 + p_partkey // 100, '{SHOP}/item/' || p_partkey || '?ref=again' FROM part WHERE p_partkey % 5 = 0),
+each_page AS (SELECT DISTINCT n FROM listed),
+all_links AS (SELECT href FROM listed UNION ALL SELECT '{SHOP}/' FROM each_page
+  UNION ALL SELECT '{SHOP}/list/' || (n + 1) FROM each_page),
+answered AS (SELECT href, ANSWER AS a FROM (SELECT DISTINCT href FROM all_links))
+SELECT 'pages' AS what, count(*) AS n FROM each_page UNION ALL SELECT 'items', count(*) FROM listed
+UNION ALL SELECT 'deduped_items', count(*) FROM part UNION ALL SELECT 'checked_links', count(*) FROM all_links
+UNION ALL SELECT CASE a[1] WHEN 'BROKEN' THEN 'issues_high' ELSE 'issues_medium' END, count(*)
+FROM answered WHERE a[1] IN ('BROKEN', 'ERROR') GROUP BY ALL"""
+ORACLES["manifest_folders"] = """SELECT unnest(['items.csv', 'links.csv', 'images.csv', 'headings.csv', 'qa_issues.csv',
+  'tables.csv', 'items.jsonl', 'links.jsonl', 'images.jsonl', 'headings.jsonl', 'qa_issues.jsonl', 'run.json',
+  'data/items', 'data/links', 'data/images', 'data/headings', 'data/qa_issues']) AS folder"""
 ORACLES["report_filter"] = f"SELECT * FROM ({ITEMS}) WHERE contains(lower(title), 'brand#1')"
 ORACLES["report_sort"] = f'SELECT page_id, "index", price FROM ({ITEMS})'
 ORACLES["preview"] = f'SELECT * FROM ({ITEMS}) ORDER BY page_id, "index" LIMIT 2000'
@@ -377,6 +392,7 @@ FROM part WHERE (p_partkey // 10) % 10 != 9"""
 HREFS = f"{LINKS}, hrefs AS (SELECT page_id, pos, text, {SITE_OF} || raw AS href FROM links)"
 ANSWER = """CASE length(href) % 5 WHEN 0 THEN ['OK', '200'] WHEN 1 THEN ['OK', '301'] WHEN 2 THEN ['BROKEN', '404']
   WHEN 3 THEN ['RESTRICTED', '403'] ELSE ['ERROR', 'Timeout'] END"""
+ORACLES["finished_run"] = FINISHED.replace("ANSWER", ANSWER)
 ORACLES["check_links"] = f"""WITH {HREFS} SELECT page_id, pos, text, href, 'internal' AS type,
   ({ANSWER})[1] AS status, ({ANSWER})[2] AS detail FROM hrefs"""
 ORACLES["broken_links"] = f"""WITH {HREFS}, each_one AS (SELECT DISTINCT href, {ANSWER} AS a FROM hrefs)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..functions.markup import raw_tokens, tag_name
-from ..operators import classify, crawl, dedupe, guarded, incremental, links, payloads, records, rows, summary
+from ..operators import classify, crawl, dedupe, finish, guarded, incremental, links, payloads, records, rows, summary
 from ..operators import pages as whole
 from ..operators.presets import presets_table
 from ..sources import readers, writers
@@ -426,16 +426,44 @@ def manifest(spark, d):
     run = writers.save_extracted(_catalog_run(spark, d), new_folder(spark, "run"))
     path = new_folder(spark, "export")
     writers.export_all(run, path, {"jsonl"})
-    found = writers.manifest(spark, path, summary.run_meta(run), summary.run_counts(run))
+    files = writers.manifest_files(spark, path)
+    found = writers.manifest(summary.run_meta(run), summary.run_counts(run), files)
     return found.select(
         F.col("meta.url").alias("url"),
         F.col("counts")["items"].alias("items"),
         F.col("counts")["links"].alias("links"),
         "schema_version",
-        (F.size(F.filter("files", lambda f: f.endswith(".json"))) > 0).alias("has_files"),
+        (F.col("files.n") > 0).alias("has_files"),
     )
 
 
+def _finished(spark, d):
+    run = writers.save_extracted(whole.extract_pages(fx.catalog_repeats(spark, d)), new_folder(spark, "run"))
+    hrefs = links.link_candidates(whole.family(run, "links")).select("href")
+    return run, finish.finished_run(run, fx.answers(hrefs))
+
+
+@query
+def finished_run(spark, d):
+    """Counts of a run with link checks, its repeated items gone, and issues of broken links."""
+    return finish.finished_counts(*_finished(spark, d))
+
+
+@query
+def finished_items(spark, d):
+    return _finished(spark, d)[1]["items"]
+
+
+@query
+def manifest_folders(spark, d):
+    """The folders of an export, from the places of its files."""
+    run = writers.save_extracted(_catalog_run(spark, d), new_folder(spark, "run"))
+    path = new_folder(spark, "export")
+    writers.export_all(run, path, {"csv", "jsonl", "json", "tables"})
+    files = writers.manifest_files(spark, path).where("file not like '%.crc'")
+    return files.select(F.regexp_extract("file", "^(.*)/[^/]+$", 1).alias("folder")).distinct()
+
+
 @query
 def report_filter(spark, d):
     return classify.report_filter(records.extract_items(fx.catalog_pages(spark, d)), "BRAND#1")

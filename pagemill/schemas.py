@@ -1,27 +1,6 @@
-"""Row types, declared once.  Missing text is '' and never null; prices stay strings."""
+"""Row types and versions that more than one module names."""
 
 from __future__ import annotations
 
-ITEM_FIELDS = (
-    "`index` int, title string, price string, link string, image string, text string, "
-    "fingerprint string"
-)
-ITEM = f"page_id bigint, {ITEM_FIELDS}"
-LINK = "page_id bigint, pos int, text string, href string, type string, status string, detail string"
-IMAGE = (
-    "page_id bigint, pos int, src string, alt string, alt_state string, width string, height string"
-)
-HEADING = "page_id bigint, pos int, level int, text string"
-TABLE = (
-    "page_id bigint, table_no int, caption string, header array<string>, "
-    "rows array<array<string>>"
-)
-ISSUE = (
-    "page_id bigint, pos int, severity string, `check` string, detail string, `where` string"
-)
 PAGE = "page_id bigint, url string, html string"
-
-# Column names of the saved tables and of the item sink.
-TABLE_NAMES = ["items", "links", "images", "headings", "tables", "qa_issues", "run_meta"]
-SINK_HEADER = ["page", "index", "title", "price", "link", "image", "text", "fingerprint"]
 SCHEMA_VERSION = "2.0"

@@ -64,7 +64,7 @@ def reused(build):
 
     @functools.wraps(build)
     def wrapper(*args):
-        key = (id(SparkContext._gateway), *args)
+        key = (SparkContext.getOrCreate().applicationId, *args)
         if key not in kept:
             kept[key] = build(*args)
         return kept[key]

@@ -3,9 +3,12 @@ URI that Spark can write to will do, an object store included."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedupe import with_fingerprint
 from ..operators.pages import family
 from ..operators.records import table_cells
 from ..schemas import SCHEMA_VERSION
@@ -53,7 +56,7 @@ def save_extracted(extracted: DataFrame, path: str) -> DataFrame:
 def run_tables(stored: DataFrame, meta: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of a run with the names and columns of its database form."""
     tables = {
-        "items": family(stored, "items"),
+        "items": with_fingerprint(family(stored, "items")),
         "links": family(stored, "links"),
         "images": family(stored, "images"),
         "headings": family(stored, "headings"),
@@ -107,22 +110,23 @@ def export_all(
     return written
 
 
-def manifest(spark: SparkSession, path: str, meta: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: the run's meta, counts as a map, schema version and the files under ``path``."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"))
-    )
-    files = listed.agg(F.sort_array(F.collect_list("file")).alias("files"))
+def manifest_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes``: every file below ``path``, by its place relative to it."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    folder = re.sub("^[a-z0-9]+:/*", "/", path.rstrip("/"))
+    return listed.select(plain.substr(F.lit(len(folder) + 2), F.length(plain)).alias("file"), F.col("length").alias("bytes"))
+
+
+def manifest(meta: DataFrame, counts: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: the run's meta, its counts as a map, the number and size of its files, and the schema
+    version.  The files themselves are rows of ``manifest_files``."""
     totals = counts.agg(F.map_from_entries(F.collect_list(F.struct("what", "n"))).alias("counts"))
-    row = meta.select(F.lit(1).alias("_k"), F.struct("*").alias("meta"))
-    return (
-        row.join(totals.withColumn("_k", F.lit(1)), "_k")
-        .join(files.withColumn("_k", F.lit(1)), "_k")
-        .select("meta", "counts", F.lit(SCHEMA_VERSION).alias("schema_version"), "files")
-    )
+    sizes = files.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).alias("files"))
+    rows = meta.select(F.struct("*").alias("meta"))
+    rows = rows.unionByName(totals, allowMissingColumns=True).unionByName(sizes, allowMissingColumns=True)
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("meta", "counts", "files")]
+    return rows.agg(*first).withColumn("schema_version", F.lit(SCHEMA_VERSION))
 
 
 def sink_row(items: DataFrame) -> DataFrame:

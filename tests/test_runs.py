@@ -2,6 +2,7 @@ import json
 import os
 import subprocess
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -54,8 +55,10 @@ def test_exports(spark, run, tmp_path):
     assert spark.read.parquet(out + "/data/run_meta").first().preset == "none"
     cells = spark.read.csv(out + "/tables.csv", header=True)
     assert cells.where("col_name = 'col_2'").first().cell == "2"
-    found = writers.manifest(spark, out, meta, summary.run_counts(run)).first()
-    assert found.counts["items"] == 3 and found.schema_version == "2.0" and len(found.files) > 10
+    files = writers.manifest_files(spark, out)
+    found = writers.manifest(meta, summary.run_counts(run), files).first()
+    assert found.counts["items"] == 3 and found.schema_version == "2.0" and found.files.n == files.count() > 10
+    assert all((Path(out) / f.file).is_file() for f in files.collect())
     with pytest.raises(ValueError, match="Unknown format"):
         writers.export_all(run, out, {"xml"})
 

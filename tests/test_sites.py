@@ -34,7 +34,9 @@ def test_block_and_thin(spark):
     late = "<p>" + "word " * 1000 + "access denied"
     htmls = ["<title>Just a moment...</title>" + long, long + "Captcha", long, "<p>short", "<a><a><a><a><input>", late, "<div>" * 900 + "<title>403 Forbidden</title>" + long]
     got = by_id(classify.page_flags(page_rows(spark, htmls)), "blocked", "thin")
-    assert got == [(True, False), (True, False), (False, False), (False, True), (False, False), (False, False), (True, False)]
+    assert got == [(True, False), (True, False), (False, False), (False, True), (False, False), (True, False), (True, False)]
+    near_start = page_rows(spark, htmls).select("page_id", classify.is_blocked(F.col("html"), within=4000).alias("blocked"))
+    assert [b for b, in by_id(near_start, "blocked")] == [True, True, False, False, False, False, True]
 
 
 def test_link_status(spark):
@@ -64,7 +66,24 @@ def test_salted_join_is_the_plain_join(spark, how):
     left = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
     right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k bigint, v string")
     plain = left.join(right, "k", how)
-    assert sorted(map(str, salted_join(left, right, "k", how).collect())) == sorted(map(str, plain.collect()))
+    for heavy_rows in (10, 1_000):
+        joined = salted_join(left, right, "k", how, heavy_rows)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_salted_join_deals_a_hot_key(spark):
+    """One key in most rows: no task of the join gets more than its part of them."""
+    left = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    right = spark.createDataFrame([("hot", 1), ("0", 2)], "k string, v int").hint("shuffle_hash")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        joined = salted_join(left, right, "k", "left", heavy_rows=1_000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 6_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_robots_like_the_standard_parser(spark):

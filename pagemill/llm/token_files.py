@@ -9,7 +9,7 @@ its start in the file and the ids of the files before, one number for each file.
 
 The ids are the ``tokenizers`` library's.  Words don't go over spaces or line ends, which that
 tokenizer drops, so a task has the library encode each different space-separated chunk once while it
-remembers it, and puts texts together from these.
+remembers it, without the mark that ends it, and puts texts together from these.
 
 Defined results: a null text is empty, and has the end id alone.  Rows with equal doc_id are each
 written, in the order of a hash of their texts; rows without doc_id come first.  An empty table gives
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 END_ID = 2
 KEPT_CHUNKS = 400_000
 KEPT_CHARS = 64
+MARKS = ".,;:!?"
 WRITTEN = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 LAYOUT = {
     "compression": "zstd",
@@ -55,25 +56,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends = {m: self._ids(m) for m in ["", *MARKS]}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
         parts = list(map(self.young.get, chunks))
         if None in parts:
-            missing = {c for c, p in zip(chunks, parts, strict=True) if p is None}
-            if len(self.young) >= KEPT_CHUNKS:
-                self.old, self.young = self.young, {}
-            known, old = self.young, self.old
-            fresh = [c for c in missing if c not in old]
-            found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            made = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(fresh, found, strict=True)}
-            made.update((c, old[c]) for c in missing if c in old)
-            known.update((c, p) for c, p in made.items() if len(c) <= KEPT_CHARS)
+            made = self.find({c for c, p in zip(chunks, parts, strict=True) if p is None})
             parts = [made[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
         return b"".join(parts)
 
+    def find(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in ``young``."""
+        if len(self.young) >= KEPT_CHUNKS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        made = {c: old[c] for c in missing if c in old}
+        stems = {c: _stem(c) for c in missing if c not in made}
+        known = {s: young.get(s) or old.get(s) for s, _ in stems.values()}
+        fresh = [s for s, p in known.items() if p is None]
+        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        known.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(fresh, found, strict=True))
+        made.update((c, known[s] + self.ends[end]) for c, (s, end) in stems.items())
+        young.update((c, p) for some in (known, made) for c, p in some.items() if len(c) <= KEPT_CHARS)
+        return made
+
+
+def _stem(chunk: str) -> tuple[str, str]:
+    """A chunk without the mark that ends it after a letter, in small letters if it is ASCII, and that
+    mark: the tokenizer makes letters small and never joins a letter and a mark."""
+    end = ""
+    if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2] < "\u0250" and chunk[-2].lower().isalpha():
+        chunk, end = chunk[:-1], chunk[-1]
+    # A special token is found before letters are made small.
+    return (chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk), end
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

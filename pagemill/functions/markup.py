@@ -67,9 +67,9 @@ ENDS = {
     "tbody": (["tr", "thead", "tbody", "tfoot", "caption"], ["table"]),
     "tfoot": (["tr", "thead", "tbody", "tfoot", "caption"], ["table"]),
     "a": (["a"], ["table", "td", "th"]),
-    **dict.fromkeys(HEADINGS, (HEADINGS, ["table", "td", "th", "section", "article", "div"])),
     "body": (["head"], []),
 }
+HEADING_BOUNDARY = {"table", "td", "th", "section", "article", "div", "li"}
 P_BOUNDARY = ["td", "th", "table", "button", "div", "li", "object"]
 # A close tag does not reach past an open element of higher rank.
 RANK = {
@@ -92,11 +92,13 @@ TREE_TYPE = (
 )
 
 
-def _ends_for(tag: str):
+def _ends_for(tag: str) -> list[tuple[set, set]]:
+    """What an open tag ends, and what it doesn't look past, one after the other."""
+    rules = [(set(HEADINGS), HEADING_BOUNDARY)] if tag in HEADINGS else []
     ends, stop = ENDS.get(tag, ((), ()))
     if tag in BLOCK_TAGS:
-        return {*ends, "p"}, {*stop, *P_BOUNDARY} - set(ends)
-    return set(ends), set(stop)
+        return [*rules, ({*ends, "p"}, {*stop, *P_BOUNDARY} - set(ends))]
+    return [*rules, (set(ends), set(stop))] if ends else rules
 
 
 def pair_tags(codes, min_items: int, rules: dict) -> tuple:
@@ -130,8 +132,7 @@ def pair_tags(codes, min_items: int, rules: dict) -> tuple:
         if tag not in ("", "!"):
             if tag not in rules:
                 rules[tag] = _ends_for(tag)
-            ends, stop = rules[tag]
-            if ends:
+            for ends, stop in rules[tag]:
                 for level in range(len(stack) - 1, -1, -1):
                     if stack[level][0] in ends:
                         pop_to(level, pos - 1)
@@ -341,15 +342,26 @@ def visible(html: Column) -> Column:
 
 
 def flat_elements(html: Column, tag: str) -> Column:
-    """Start tag and inner markup of elements that cannot hold their own kind (a, h1..h6)."""
-    pattern = rf"(?is)<{tag}(?=[\s/>]){TAG_REST}>.*?(?=</{tag}[\s>]|<{tag}[\s/>]|\z)"
+    """Start tag and inner markup of elements that cannot hold their own kind (a, h1..h6).
+
+    An element without end tag goes up to the next of its kind, but not beyond the end tag of a
+    block or the next list item or cell: what it was in has ended there.
+    """
+    pattern = rf"(?is)<{tag}(?=[\s/>]){TAG_REST}>.*?(?:</{tag}(?=[\s>])|(?=<{tag}[\s/>])|\z)"
     start = rf"(?is)^<{tag}{TAG_REST}>"
+    end = rf"(?is)</{tag}\z"
+    blocks = "|".join([*BLOCK_TAGS, "td", "th", "tr", "body", "html"])
+    in_block = rf"(?is)^(.*?)(?=</(?:{blocks})[\s>]|<(?:li|dt|dd|td|th|tr)[\s/>]|\z)"
+
+    def inner(rest: Column) -> Column:
+        return F.when(rest.rlike(end), F.regexp_replace(rest, end, "")).otherwise(F.regexp_extract(rest, in_block, 1))
 
     def cut(e: Column) -> Column:
-        return let(
-            F.regexp_extract(e, start, 0),
-            lambda s: F.struct(s.alias("start"), e.substr(F.length(s) + 1, F.length(e)).alias("inner")),
-        )
+        def parts(s: Column) -> Column:
+            rest = e.substr(F.length(s) + 1, F.length(e))
+            return F.struct(s.alias("start"), let(rest, inner).alias("inner"))
+
+        return let(F.regexp_extract(e, start, 0), parts)
 
     return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), cut)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions.markup import VOID_TAGS, with_tokens
+from pagemill.operators import records, rows
 from pagemill.operators.records import css_path, html_nodes, select_nodes
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +112,16 @@ def test_a_very_long_page(page):
     """Work grows with the page, not with its square: 60,000 elements."""
     html = "<html><body>" + "".join(f"<p class='c'>some text {i}<b>x" for i in range(30000)) + "</body></html>"
     assert html_nodes(page(html)).where("tag = 'p' and depth = 3").count() == 30000
+
+
+def test_unclosed_links_and_headings_as_in_the_tree(page):
+    html = (
+        '<div><p><a href="/x">hi</p><p>lots of <a href="/y">two</a> other text</p><ul><li><a href="/z">three<li>four</ul>'
+        "<h2>Head<p>para one<h3>Next</h3><p>end</div><table><tr><td><a href='/t'>cell<td>next</table>"
+    )
+    links = [r.text for r in rows.extract_links(page(html)).orderBy("pos").collect()]
+    assert links == [r.text for r in records.select_nodes(page(html), "a[href]").collect()]
+    assert links[0] == "hi"
+    headings = [(r.level, r.text) for r in rows.extract_headings(page(html)).orderBy("pos").collect()]
+    assert headings == [(2, "Head para one"), (3, "Next")]
+    assert [r.text for r in records.select_nodes(page(html), "h2, h3").collect()] == ["Head para one", "Next"]

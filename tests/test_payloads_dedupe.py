@@ -62,7 +62,7 @@ def test_items_guess_the_fields(spark):
         "{}", "[]", '""', "not json", "", "null", "0", "7", '"text"',
     ]
     assert items(payloads.items_from_json(frame(spark, bodies))) == [
-        (0, 1, "A", "$1", "u", "i", "d"), (0, 2, "B", "", "", "", ""), (1, 1, "T" * 200, "5", "", "", ""),
+        (0, 1, "A", "$1", "u", "i", "d"), (0, 2, "B", "", "", "", ""), (1, 1, "T" * 300, "5", "", "", ""),
     ]
 
 
@@ -99,10 +99,10 @@ def test_dedupe(spark):
     ]
     df = spark.createDataFrame(rows, COLUMNS)
     got = {(r.page_id, r["index"]): r.fingerprint for r in dedupe.dedupe_items(df).collect()}
-    assert set(got) == {(1, 1), (1, 2), (3, 2), (3, 3)}
-    for at, key in [((1, 2), "x/1"), ((1, 1), "i.jpg|P"), ((3, 2), "Q|1"), ((3, 3), "t" * 200)]:
+    assert set(got) == {(1, 1), (1, 2), (3, 2), (3, 3), (3, 4)}
+    for at, key in [((1, 2), "x/1"), ((1, 1), "i.jpg|P"), ((3, 2), "Q|1"), ((3, 3), "t" * 300), ((3, 4), "t" * 200 + "other")]:
         assert got[at] == hashlib.sha1(key.encode()).hexdigest()[:16]
-    assert dedupe.dedupe_stats(df).first().asDict() == {"items": 7, "unique": 4, "removed": 3}
+    assert dedupe.dedupe_stats(df).first().asDict() == {"items": 7, "unique": 5, "removed": 2}
     again = dedupe.dedupe_items(dedupe.dedupe_items(df).drop("fingerprint"))
     assert {(r.page_id, r["index"]) for r in again.collect()} == set(got)
 
@@ -121,3 +121,28 @@ def test_one_fingerprint_in_most_rows(spark):
 def test_urls(spark):
     df = spark.createDataFrame([("http://a/b/",), ("http://a/b#x",), ("http://a/b",), ("http://a/b?q=1",)], "url string")
     assert {r.norm_url for r in dedupe.dedupe_urls(df).collect()} == {"http://a/b", "http://a/b?q=1"}
+
+
+def test_nothing_is_cut(spark):
+    items = [{"title": "t" * 900, "url": "https://h/" + "u" * 900, "description": f"{n} " + "d" * 900} for n in range(1500)]
+    payload = spark.createDataFrame([(1, json.dumps(items))], "id int, body string")
+    got = payloads.items_from_json(payload)
+    assert got.count() == 1500 and payloads.items_from_json(payload, max_items=7).count() == 7
+    row = got.first()
+    assert len(row.title) == 900 and len(row.link) == 910 and len(row.text) == 902
+    text = "same " * 60
+    rows_ = spark.createDataFrame([(1, n, "", "", "", "", text + str(n)) for n in range(2)], "page_id long, index int, title string, price string, link string, image string, text string")
+    assert dedupe.dedupe_items(rows_).count() == 2
+
+
+def test_unread_payloads_are_rows(spark):
+    bodies = ['{"a": 1}', '{"a": 1, "a": 2}', "no json", "{}", None, "[1]"]
+    table = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    assert sorted(r.id for r in payloads.rejected_payloads(table).collect()) == [1, 2, 4]
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    try:
+        assert sorted(r.id for r in payloads.rejected_payloads(table).collect()) == [2, 4]
+        twice = spark.createDataFrame([(1, '[{"title": "a", "title": "b"}]')], "id int, body string")
+        assert payloads.items_from_json(twice).first().title == "b"
+    finally:
+        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")

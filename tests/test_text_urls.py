@@ -109,3 +109,10 @@ def test_single_documents_and_hosts(spark):
     assert values(spark, numbered(cases), ur.is_single_document(F.col("v"))) == list(cases.values())
     hosts = {"http://a_b.c:80/": "a_b.c_80", "file:///x": "local"}
     assert values(spark, numbered(hosts), ur.host_label(F.col("v"))) == list(hosts.values())
+
+
+def test_references_of_any_length(spark):
+    texts = ["Levi&apos;s", "&#0000000000000065;", "&#x000000000000041;", "&#99999999999999999999;", "&#0;", "&#x110000;"]
+    table = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, v string")
+    got = [r.v for r in table.orderBy("n").select(tx.html_unescape(F.col("v")).alias("v")).collect()]
+    assert got == ["Levi's", "A", "A", "\ufffd", "\ufffd", "\ufffd"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import is_single_document, url_netloc, url_norm
 from ..session import stored
 from .joins import salted_join
+from .rows import links_column, with_visible
 
 MERGE_EVERY = 8
 
@@ -40,6 +41,21 @@ def _numbered(marked: DataFrame, start: int) -> tuple[DataFrame, DataFrame, int]
     return kept, numbered, lives
 
 
+def page_edges(pages: DataFrame) -> DataFrame:
+    """``src_url, dst_url, pos``: the links of fetched pages that a crawl could follow.
+
+    Where pages have a ``final_url``, the URL after redirects, links are resolved against it; the
+    source stays the URL that was asked for, under which ``crawl`` knows the page.
+    """
+    asked = pages.select("*", F.col("url").alias("src_url"))
+    if "final_url" in pages.columns:
+        asked = asked.withColumn("url", F.coalesce("final_url", "url")).drop("final_url")
+    links = with_visible(asked.select("src_url", "url", "html")).select("src_url", F.inline(links_column()))
+    return links.where(F.col("type").isin("internal", "external")).select(
+        "src_url", F.col("href").alias("dst_url"), "pos"
+    )
+
+
 def crawl(
     seeds: str,
     edges: DataFrame,

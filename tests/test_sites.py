@@ -205,3 +205,19 @@ def test_candidates(spark):
     assert links.link_candidates(found, external=True).count() == 3
     assert links.link_candidates(found, external=True, n=1).first().href == "http://o/"
     assert links.crawlable_links(found, "h").count() == 3
+
+
+def test_crawl_from_pages_with_a_redirect(spark):
+    rows = [
+        ("http://h/a", "http://h/a", '<a href="/old">1</a><a href="b">2</a><a href="#x">3</a>'),
+        ("http://h/old", "http://h/new/", '<a href="c">4</a><a href="mailto:x@y.z">5</a>'),
+        ("http://h/new/c", None, '<a href="/a">6</a>'),
+        ("http://h/b", None, "no links"),
+    ]
+    pages = spark.createDataFrame(rows, "url string, final_url string, html string")
+    edges = crawl.page_edges(pages)
+    assert sorted((r.src_url, r.dst_url) for r in edges.collect()) == [
+        ("http://h/a", "http://h/b"), ("http://h/a", "http://h/old"), ("http://h/new/c", "http://h/a"), ("http://h/old", "http://h/new/c"),
+    ]
+    walked = crawl.crawl("http://h/a", edges, pages.select("url")).orderBy("visit_no").collect()
+    assert [(r.url, r.depth) for r in walked] == [("http://h/a", 0), ("http://h/old", 1), ("http://h/b", 1), ("http://h/new/c", 2)]

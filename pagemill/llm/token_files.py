@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END_ID = 2
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 500_000
 KEPT_CHARS = 64
 MARKS = ".,;:!?"
 WRITTEN = "doc_id long, part int, at long, n_tokens int, ids array<int>"

@@ -92,6 +92,16 @@ def contamination(
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each document, and
     ``hit_words``: the covered words as sorted spans ``(start, end)``, counted from 0."""
+    return keyed_contamination(documents, benchmark, n, broadcast_windows).drop("key")
+
+
+def keyed_contamination(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    n: int = WINDOW,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
+    """As ``contamination``, with ``key``, the hash of the text that each row is about."""
     known = benchmark_windows(benchmark, n)
     counts = {r["length"]: r["count"] for r in known.groupBy("length").count().collect()}  # n rows at most
     lengths, small = sorted(counts), sum(counts.values()) <= broadcast_windows
@@ -136,7 +146,7 @@ def contamination(
         "hit_words",
     )
     each = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return each.drop("copy", "times", "key")
+    return each.drop("copy", "times")
 
 
 def _numbered(hashes: Column, length: int) -> Column:
@@ -167,7 +177,9 @@ def _add_span(done: Column, span: Column) -> Column:
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents, all their columns, that hold no benchmark window."""
-    hits = contamination(documents, benchmark, n).where("contaminated")
-    bad = hits.select(F.col("doc_id").alias("bad_doc_id")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["bad_doc_id"]), "left_anti")
+    """The documents, all their columns, that hold no benchmark window; rows with equal ``doc_id``,
+    or none, are kept or taken out each by its own text."""
+    hits = keyed_contamination(documents, benchmark, n).where("contaminated")
+    bad = hits.select(F.col("doc_id").alias("bad_doc_id"), F.col("key").alias("bad_key")).distinct()
+    same = documents["doc_id"].eqNullSafe(bad["bad_doc_id"]) & (F.xxhash64(documents["text"]) == bad["bad_key"])
+    return documents.join(bad, same, "left_anti")

@@ -132,6 +132,15 @@ def test_contamination(spark, odd, odd_rows, broadcast):
     assert decontaminate.contamination(odd.limit(0), benchmark).count() == 0
 
 
+def test_clean_texts_stay_beside_contaminated_ones(spark):
+    """Without an id or under one that repeats, each text is judged on its own."""
+    item = "seven quiet lanterns by the river stone of the old harbour"
+    rows = [(None, f"so {item} it goes"), (None, "clean, without id"), (7, item), (7, "clean, of document seven"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert rows_of(decontaminate.without_contaminated(docs, benchmark)) == sorted([rows[1], rows[3], rows[4]], key=repr)
+
+
 def test_archive(spark, tmp_path):
     pages = [
         (3, "u3", "<p>same</p>"), (1, "u1\r\nx", "<p>same</p>"), (2, None, "<p>é</p>"), (4, "u4", None), (5, "u5", ""),

@@ -196,9 +196,30 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The documents, all their columns, with one of each component: that with the smallest doc_id;
-    rows that repeat its doc_id go too."""
-    found = near_copies(documents)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = documents.join(keep, documents["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The documents, all their columns, with one of each component: that with the smallest doc_id,
+    or none if there is no other, and of those with the smallest hash of its text.  Components are
+    told apart by their fingerprints, so rows without doc_id or with one that repeats stay by text."""
+    prints = stored(documents.select("doc_id", _text_key().alias("key"), fingerprint(F.col("text")).alias("bits")), "prints")
+    firsts = stored(prints.groupBy("bits").agg(F.min(_order()).alias("first")), "firsts")
+    links = close_pairs(firsts.select("bits"))
+    roots = connected_components(links.select(F.col("bits").alias("a"), F.col("root").alias("b")))
+    return _firsts_only(documents, firsts, roots.withColumnRenamed("node", "bits"), "bits")
+
+
+def _text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def _order() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+
+
+def _firsts_only(documents: DataFrame, firsts: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """The documents that come first in their components, from the first of each node; ``roots`` has
+    the nodes that aren't roots themselves."""
+    rooted = firsts.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    keep = stored(keep.toDF("kept_id", "kept_key"), "kept")
+    keyed = documents.withColumn("_text_key", _text_key())
+    same = keyed["doc_id"].eqNullSafe(keep["kept_id"]) & (keyed["_text_key"] == keep["kept_key"])
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

@@ -91,6 +91,14 @@ def test_one_of_each_group_stays(odd, odd_rows):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(ids, key=repr)
 
 
+def test_one_text_of_each_group_stays_without_ids(spark):
+    """Groups whose rows have no id or one that repeats: judged by texts, not by ids."""
+    rows = [(None, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "delta epsilon zeta eta"), (None, None), (5, "theta iota"), (5, "kappa"), (5, "kappa"), (6, "ALPHA beta gamma")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, "delta epsilon zeta eta"), (None, None), (5, "theta iota"), (5, "kappa"), (6, "ALPHA beta gamma")]
+    assert rows_of(simhash.deduplicated(docs)) == sorted(want, key=repr)
+
+
 def plain_repeats(rows, length=200):
     texts = [(t or "").encode() for _, t in rows]
     seen = {}

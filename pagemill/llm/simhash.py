@@ -24,7 +24,7 @@ null id.  Whole texts are read; only ``doc_id`` and ``text`` of the table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -49,10 +49,11 @@ def references(n: int = PIVOTS) -> np.ndarray:
     return np.array([0, *(xxhash.xxh64_intdigest(bytes([i]), SEED) for i in range(1, n))], dtype=np.uint64)
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+def hashed_shingles(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of all shingles in order, some at a time; none of a text without words."""
     words = text.lower().split()  # of bytes: A-Z, and white space 09-0D and 20
     if not words:
-        return 0
+        return
     if len(words) < shingle:
         shingles: Iterator[bytes] = iter([b" ".join(words)])
         total = 1
@@ -60,12 +61,21 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         total = len(words) - shingle + 1
     hash_ = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
     for start in range(0, total, HASHED_AT_ONCE):
         n = min(HASHED_AT_ONCE, total - start)
-        hashes = np.fromiter((hash_(s, SEED) for _, s in zip(range(n), shingles, strict=False)), np.uint64, n)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+        yield np.fromiter((hash_(s, SEED) for _, s in zip(range(n), shingles, strict=False)), np.uint64, n)
+
+
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    return of_hashes(hashed_shingles(text, shingle))
+
+
+def of_hashes(chunks: Iterable[np.ndarray]) -> int:
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in chunks:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
+        total += len(hashes)
     set_ = np.packbits(2 * counts > total, bitorder="little")
     return int(set_.view(np.uint64)[0])
 
@@ -199,27 +209,27 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents, all their columns, with one of each component: that with the smallest doc_id,
     or none if there is no other, and of those with the smallest hash of its text.  Components are
     told apart by their fingerprints, so rows without doc_id or with one that repeats stay by text."""
-    prints = stored(documents.select("doc_id", _text_key().alias("key"), fingerprint(F.col("text")).alias("bits")), "prints")
-    firsts = stored(prints.groupBy("bits").agg(F.min(_order()).alias("first")), "firsts")
+    prints = stored(documents.select("doc_id", text_key().alias("key"), fingerprint(F.col("text")).alias("bits")), "prints")
+    firsts = stored(prints.groupBy("bits").agg(F.min(order()).alias("first")), "firsts")
     links = close_pairs(firsts.select("bits"))
     roots = connected_components(links.select(F.col("bits").alias("a"), F.col("root").alias("b")))
-    return _firsts_only(documents, firsts, roots.withColumnRenamed("node", "bits"), "bits")
+    return firsts_only(documents, firsts, roots.withColumnRenamed("node", "bits"), "bits")
 
 
-def _text_key() -> Column:
+def text_key() -> Column:
     return F.xxhash64("text")
 
 
-def _order() -> Column:
+def order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
 
 
-def _firsts_only(documents: DataFrame, firsts: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+def firsts_only(documents: DataFrame, firsts: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """The documents that come first in their components, from the first of each node; ``roots`` has
     the nodes that aren't roots themselves."""
     rooted = firsts.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     keep = stored(keep.toDF("kept_id", "kept_key"), "kept")
-    keyed = documents.withColumn("_text_key", _text_key())
+    keyed = documents.withColumn("_text_key", text_key())
     same = keyed["doc_id"].eqNullSafe(keep["kept_id"]) & (keyed["_text_key"] == keep["kept_key"])
     return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

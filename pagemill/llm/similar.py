@@ -1,0 +1,186 @@
+"""One document of each group of near copies: shingle sets with a Jaccard similarity of at least 0.8.
+
+A SimHash within three bits finds few pairs of that similarity, so it is only one of two ways to
+candidates here:
+
+* ``BANDS`` keys of ``ROWS`` minima of the shingle hashes each.  A pair of similarity s agrees on at
+  least one with the chance ``1 - (1 - s**ROWS)**BANDS``: 0.99999 at 0.8.
+* Fingerprints of the same shingles that differ in at most three bits.
+
+Candidates make loose groups, and only true links inside those count, each verified on the whole
+sets.  Every member is compared with the first of its loose group.  Those similar to it are linked
+and need no comparing among themselves; the others are compared with all that can be similar to
+them by the triangle inequality, in units of two chunks, so no task holds a large group.  Documents
+with equal sets are one node, and groups are the components of the verified links.
+
+Defined results: a text with fewer words than a shingle is one shingle; those without words are a
+group of their own.  Which document of a group stays is as in ``simhash.deduplicated``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import stored
+from . import simhash
+from .components import connected_components
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 30, 5
+AT_ONCE = 1 << 10
+CHUNK_ROWS = 128
+FACTORS = np.array([xxhash.xxh64_intdigest(bytes([n]), 7) | 1 for n in range(BANDS * ROWS)], dtype=np.uint64)
+ROUNDING = 1e-9
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *simhash.hashed_shingles(text, shingle)]))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), AT_ONCE):
+        np.minimum(least, (hashes[start : start + AT_ONCE, None] * FACTORS).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(rows.tobytes(), band) for band, rows in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sketch(text: Column, shingle: int) -> Column:
+    """``node``, which stands for the shingle set, the fingerprint's ``bits`` and the band ``keys``."""
+
+    @F.arrow_udf("node string, bits long, keys array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        nodes, bits, keys = [], [], []
+        for text in texts:
+            raw = (text.as_py() or "").encode()
+            chunks = list(simhash.hashed_shingles(raw, shingle))
+            hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks]))
+            nodes.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
+            bits.append(simhash.of_hashes(chunks))
+            keys.append(band_keys(hashes))
+        signed = np.array(bits, np.uint64).view(np.int64)
+        columns = [pa.array(nodes, pa.string()), pa.array(signed), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, names=["node", "bits", "keys"])
+
+    return run.asNondeterministic()(text)
+
+
+def shingles(text: Column, shingle: int) -> Column:
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set((t.as_py() or "").encode(), shingle).view(np.int64) for t in texts]
+        return pa.array(sets, pa.list_(pa.int64()))
+
+    return run.asNondeterministic()(text)
+
+
+def deduplicated(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, all their columns, with the first of each group of near copies."""
+    key = simhash.text_key()
+    rows = documents.select("doc_id", key.alias("key"), sketch(F.col("text"), shingle).alias("s"))
+    rows = stored(rows.select("doc_id", "key", "s.*"), "sketches")
+    firsts = stored(rows.groupBy("node").agg(F.min(simhash.order()).alias("first"), F.first("bits").alias("bits")), "firsts")
+    loose = connected_components(_candidates(rows, firsts))
+    loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+    picked = loose.join(firsts, "node").select("node", "root", F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"))
+    texts = documents.select("doc_id", key.alias("key"), "text")
+    met = texts.join(picked, texts["doc_id"].eqNullSafe(picked["kept_id"]) & (texts["key"] == picked["kept_key"]))
+    met = met.dropDuplicates(["node"]).select("node", "root", "text")
+    sets = stored(met.select("node", "root", shingles(F.col("text"), shingle).alias("hashes")), "sets")
+    roots = connected_components(verified_links(sets, similarity))
+    return simhash.firsts_only(documents, firsts, roots, "node")
+
+
+def _candidates(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``a, b``: nodes that share a band key or have close fingerprints, as stars."""
+    banded = rows.select("node", F.explode("keys").alias("band_key"))
+    stars = banded.groupBy("band_key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    stars = stored(stars.where("least <> most").select("band_key", "least"), "stars")
+    by_band = banded.join(stars, "band_key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    named = stored(firsts.groupBy("bits").agg(F.min("node").alias("least")), "named")
+    equal = firsts.join(named, "bits").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    pairs = simhash.close_pairs(named.select("bits"))
+    pairs = pairs.join(named.withColumnRenamed("least", "a"), "bits").select("a", "root")
+    pairs = pairs.join(named.select(F.col("bits").alias("root"), F.col("least").alias("b")), "root").select("a", "b")
+    return by_band.unionByName(equal).unionByName(pairs).where("a <> b").distinct()
+
+
+def verified_links(sets: DataFrame, similarity: float = SIMILARITY, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``a, b``: links of ``node, root, hashes`` with the components of all similar pairs of a root."""
+    centres = sets.where("node = root").select("root", F.col("hashes").alias("centre"))
+    shared = F.size(F.array_intersect("hashes", "centre"))
+    near = sets.join(centres, "root").withColumn("shared", shared)
+    like = F.col("shared") / (F.size("hashes") + F.size("centre") - F.col("shared"))
+    near = stored(near.select("node", "root", "hashes", (1 - like).alias("far")), "near")
+    linked = F.col("far") <= 1 - similarity + ROUNDING
+    to_centre = near.where(linked).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    open_ = near.where(~linked).groupBy("root").agg(F.min("far").alias("least_far"))
+    rest = near.join(open_, "root").where(F.col("far") >= F.col("least_far") - (1 - similarity) - ROUNDING)
+    rest = rest.select("node", "root", "hashes", linked.alias("linked"))
+    n = stored(rest.groupBy("root").agg(F.count("*").alias("n")), "open")
+    rest = rest.join(n, "root").withColumn("chunks", F.ceil(F.col("n") / chunk_rows).cast("int"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    units = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    units = units.select("root", *pair, "node", "linked", "hashes").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return to_centre.unionByName(units.mapInArrow(_links(similarity), "a string, b string"))
+
+
+def _links(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, linked, sets in _units(batches):
+            root = linked_sets(sets, linked, similarity)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            a, b = [names[n] for n in moved], [names[n] for n in root[moved]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    return run
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bool], list[np.ndarray]]]:
+    now, names, linked, sets = None, [], [], []
+    for batch in batches:
+        columns = [batch.column(c) for c in ("root", "i", "j", "node", "linked", "hashes")]
+        for root, i, j, node, flag, hashes in zip(*columns, strict=True):
+            unit = (root.as_py(), i.as_py(), j.as_py())
+            if unit != now and names:
+                yield names, linked, sets
+                names, linked, sets = [], [], []
+            now = unit
+            names.append(node.as_py())
+            linked.append(flag.as_py())
+            sets.append(hashes.values.to_numpy(zero_copy_only=False))
+    if names:
+        yield names, linked, sets
+
+
+def linked_sets(sets: list[np.ndarray], linked: list[bool], similarity: float) -> np.ndarray:
+    """For each set the first that it is connected with; ``linked`` ones are connected beforehand."""
+    root = np.arange(len(sets))
+    first = np.flatnonzero(linked)
+    if len(first):
+        root[first] = first[0]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, terms = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mark = np.zeros(terms.max(initial=-1) + 1, bool)
+    for a in range(len(sets)):
+        if linked[a]:
+            continue  # compared from the other side
+        mine = terms[ends[a] - sizes[a] : ends[a]]
+        mark[mine] = True
+        shared = np.bincount(owner[mark[terms]], minlength=len(sets))
+        mark[mine] = False
+        union = sizes + sizes[a] - shared
+        close = np.flatnonzero((shared >= similarity * union - ROUNDING) & (union > 0))
+        simhash._unite(root, np.full(len(close), a), close)
+    return root

@@ -89,6 +89,12 @@ def nav_groups(spark, d):
     return groups.where("selector like '%> li'").select("page_id", "count", "score", "selector")
 
 
+@query
+def item_groups(spark, d):
+    """All repeating groups; ``nav_groups`` has those that its SQL can say."""
+    return records.find_item_groups(fx.pages(spark, d)).select("page_id", "rank", "count", "score", "selector")
+
+
 @query
 def qa_header(spark, d):
     return no_pos(whole.qa_header(fx.pages(spark, d)))

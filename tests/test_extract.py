@@ -179,3 +179,52 @@ def test_partitioning_does_not_matter(spark):
     one = records.extract_items(pages.coalesce(1)).collect()
     many = records.extract_items(pages.repartition(7)).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def plain_groups(html):
+    """Groups of a page without voids and implied ends, by the standard library."""
+    from html.parser import HTMLParser
+
+    stack, groups = [["", [], ""]], {}
+
+    class Tree(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "text": "", "link": tag == "a", "cls": dict(attrs).get("class"), "nav": tag == "nav", "path": ""}
+            above = stack[-1] if isinstance(stack[-1], dict) else None
+            node["path"] = f"{above['path']} > {tag}" if above else tag
+            node["nav"] |= bool(above and above["nav"])
+            if above:
+                own = f"{above['path']} > {tag}" + (f".{node['cls']}" if node["cls"] else "")
+                groups.setdefault((id(above), own), (above, []))[1].append(node)
+                for up in stack[1:]:
+                    up["link"] |= tag == "a"
+            stack.append(node)
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            for up in stack[1:]:
+                up["text"] += data
+
+    Tree().feed(html)
+    out = []
+    for (_, own), (above, members) in groups.items():
+        lens = sorted(len(m["text"]) for m in members)
+        if len(members) >= 3 and lens[len(lens) // 2] >= 8:
+            links = sum(m["link"] for m in members) / len(members)
+            score = len(members) * min(lens[len(lens) // 2], 300) ** 0.5 * (1 + links) * (0.15 if above["nav"] else 1)
+            out.append((len(members), round(score, 1), own))
+    return sorted(out, key=lambda g: -g[1])
+
+
+def test_query_returns_all_groups(spark, tmp_path):
+    from pagemill.plans.registry import QUERIES
+
+    menu = "".join(f'<li><a href="/{n}">Menu entry {n}</a></li>' for n in range(4))
+    cards = "".join(f'<article class="card"><p>Text of card number {n}</p></article>' for n in range(5))
+    words = "".join(f"<span>a longer span {n}</span>" for n in range(3)) + "<b>one</b><b>two</b><b>six</b>"
+    html = f"<html><body><nav><ul>{menu}</ul></nav><main>{cards}</main><section>{words}</section></body></html>"
+    spark.createDataFrame([(1, "https://a.example.com/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["count"], float(r.score), r.selector) for r in QUERIES["item_groups"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == plain_groups(html) and len(got) == 3

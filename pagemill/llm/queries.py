@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from . import bpe, decontaminate, quality, repeats, simhash, token_counts, token_files, topk, toxicity, warc
+from . import bpe, decontaminate, exact, lexical, quality, repeats, simhash, token_counts, token_files, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,3 +169,60 @@ with v as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
+
+
+@query
+def op11_lexical_search(spark, d):
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), k=10)
+
+
+ORACLES["op11_lexical_search"] = r"""
+with doc as (
+    select row_number() over () as r, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), total as (
+    select count(*)::bigint as n_docs, sum(len(terms))::bigint as n_terms from doc where len(terms) > 0
+), posting as (
+    select r, doc_id, n, term, count(*)::bigint as tf
+    from (select r, doc_id, len(terms)::bigint as n, unnest(terms) as term from doc) group by all
+), asked as (
+    select q, item_id, term, count(*)::bigint as times
+    from (select row_number() over () as q, item_id,
+                 unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)
+    group by all
+), weighted as (
+    select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+    from posting, total group by term, n_docs
+), scored as (
+    select q, item_id, r, doc_id,
+           sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+    from asked join weighted using (term) join posting using (term), total
+    group by q, item_id, r, doc_id
+), ranked as (
+    select *, row_number() over (partition by q order by score desc, doc_id nulls last)::int as rank
+    from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query
+def op12_exact_dedup(spark, d):
+    """Groups of texts that are equal but for runs of white space."""
+    return exact.duplicates(table(spark, d, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = r"""
+with t as (
+    select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
+), g as (
+    select *, row_number() over (partition by norm order by doc_id nulls last) as place,
+           count(*) over (partition by norm) as n, min(doc_id) over (partition by norm) as keep_id
+    from t
+)
+select doc_id, keep_id, n::bigint as group_size, place = 1 as kept, sha256(norm) as text_sha256 from g
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from . import bpe, decontaminate, exact, lexical, quality, repeats, simhash, token_counts, token_files, topk, toxicity, warc
+from . import bpe, decontaminate, exact, lexical, phrases, quality, repeats, simhash, token_counts, token_files, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,3 +226,46 @@ with t as (
 )
 select doc_id, keep_id, n::bigint as group_size, place = 1 as kept, sha256(norm) as text_sha256 from g
 """
+
+
+@query
+def op13_collocations(spark, d):
+    """The 2,000 strongest phrases of two or three words of each language."""
+    return phrases.collocations(table(spark, d, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+with piece as (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[.,;:!?\x0A-\x0D]')) as p
+    from documents
+), words as (
+    select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece
+), gram as (
+    select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*)::bigint as f
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+          from words, (select unnest([1, 2, 3]) as k) where len(w) >= k)
+    group by all
+), total as (
+    select lang, sum(f)::bigint as n from gram where k = 1 group by lang
+), candidate as (
+    select lang, k, phrase, f as a, string_split(phrase, ' ') as w from gram where k > 1 and f >= 10
+), cut as (
+    select c.lang, c.k, c.phrase, c.a, j, x.f as l, y.f as r,
+           ((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f))::bigint as score
+    from (select *, unnest(range(1, k)) as j from candidate) c
+    join gram x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : j], ' ')
+    join gram y on y.lang = c.lang and y.phrase = array_to_string(c.w[j + 1 : c.k], ' ')
+), lowest as (
+    select * from (select *, row_number() over (partition by lang, phrase order by score, j) as o from cut) where o = 1
+), covered as (
+    select lang, part, max(a) as longer
+    from (select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as part from candidate where k = 3) group by all
+), ranked as (
+    select l.*, row_number() over (partition by l.lang order by score desc, a desc, encode(l.phrase)) as rank
+    from lowest l left join covered v on v.lang = l.lang and v.part = l.phrase
+    where longer is null or 100 * longer < 50 * a
+)
+select lang, rank::bigint as rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
+"""

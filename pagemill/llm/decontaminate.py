@@ -7,8 +7,10 @@ words), so that a window costs two steps whatever its length.  They are looked u
 benchmark windows, and each hit is verified word by word before it counts.
 
 The set is broadcast while it has at most ``broadcast_windows`` rows (counted; some hundred bytes
-each); beyond that Spark joins it by shuffle, with the same result.  Only hits and one row for each
-text go into the shuffle, summed up before it by task.
+each); only hits and one row for each text then go into the shuffle, summed up before it by task.
+Beyond that the hashes of windows meet the set by shuffle, and the hits of a text are brought to its
+words to be verified, with the same result.  No window carries its text along, so both ways
+take time in proportion to a text's length.
 
 Defined results: a null or wordless text has no words and no hits; null or wordless items have no
 window.  Items with equal windows all count.  An item without id marks words but isn't counted.
@@ -109,46 +111,77 @@ def keyed_contamination(
     texts = documents.select("doc_id", "text").withColumn("words", words(F.col("text")))
     texts = texts.withColumn("key", F.xxhash64("text")).withColumn("w1", word_hashes(F.col("words")))
     texts = windows_by_length(texts.drop("text"), lengths)
-    windows = [_numbered(F.col(f"h{m}"), m) for m in lengths]
     # Position -1 stands for the document itself, so that it is kept without hits and counted once.
     itself = F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit(0).alias("length"), F.lit(-1).alias("at")))
-    scanned = texts.select("doc_id", "key", "words", F.explode(F.concat(itself, *windows)).alias("w"))
-    scanned = scanned.select("doc_id", "key", "words", "w.*")
-    met = scanned.join(F.broadcast(known) if small else known, ["hash", "length"], "left")
-    same = F.slice("words", F.col("at") + 1, F.col("length")) == F.col("window")
-    span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("end"))
-    rows = met.where((F.col("at") == -1) | same).select(
-        "doc_id",
-        "key",
-        F.when(F.col("at") == -1, F.size("words")).cast("long").alias("n_words"),
-        F.when(F.col("at") >= 0, span).alias("span"),
-        "item_ids",
-    )
+    texts = texts.select("doc_id", "key", "words", F.concat(itself, *[_numbered(F.col(f"h{m}"), m) for m in lengths]).alias("w"))
+    rows = _broadcast_hits(texts, known) if small else _shuffled_hits(texts, known)
     by_text = rows.groupBy("doc_id", "key").agg(
         F.count("n_words").alias("times"),
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set("span")).alias("spans"),
+        F.collect_set("span").alias("spans"),
         F.collect_set("item_ids").alias("found"),
     )
-    merged = F.aggregate("spans", _no_spans(), _add_span)
+    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
     items = F.array_sort(F.array_distinct(F.flatten("found")))
-    done = by_text.withColumn("hit_words", merged).withColumn("items", items)
-    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
+    done = by_text.withColumn("covered", F.sort_array(F.array_distinct(places))).withColumn("items", items)
     done = done.select(
         "doc_id",
         "key",
         "times",
         "n_words",
-        n_hit.alias("n_hit"),
+        F.size("covered").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("hit_words") > 0).alias("contaminated"),
-        "hit_words",
+        (F.size("covered") > 0).alias("contaminated"),
+        _runs(F.col("covered")).alias("hit_words"),
     )
     each = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return each.drop("copy", "times")
 
 
+def _hit(at: Column, length: Column) -> Column:
+    return F.when(at >= 0, F.struct(at.alias("start"), (at + length).alias("end")))
+
+
+def _broadcast_hits(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, key, n_words, span, item_ids``: a row for each text, and one for each verified hit.
+
+    The array of windows is a column before it is exploded, and the explosion an outer one, so that
+    it isn't computed again for a filter on its size; explosion, look-up and check are then one compiled step, in which
+    ``words`` stays where it is and only rows that pass are made."""
+    scanned = texts.select("doc_id", "key", "words", F.explode_outer("w").alias("w")).select("doc_id", "key", "words", "w.*")
+    met = scanned.join(F.broadcast(known), ["hash", "length"], "left")
+    same = F.slice("words", F.col("at") + 1, F.col("length")) == F.col("window")
+    n_words = F.when(F.col("at") == -1, F.size("words")).cast("long")
+    return met.where((F.col("at") == -1) | same).select(
+        "doc_id", "key", n_words.alias("n_words"), _hit(F.col("at"), F.col("length")).alias("span"), "item_ids"
+    )
+
+
+def _shuffled_hits(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """As ``_broadcast_hits``, by shuffle joins: hashes of windows with the set, then hits with words."""
+    scanned = texts.select("doc_id", "key", F.explode_outer("w").alias("w")).select("doc_id", "key", "w.*")
+    hit = F.struct("at", "length", "window", "item_ids")
+    found = scanned.where("at >= 0").distinct().join(known, ["hash", "length"])
+    found = found.groupBy("doc_id", "key").agg(F.collect_list(hit).alias("hits"))
+    found = found.withColumnsRenamed({"doc_id": "hit_doc_id", "key": "hit_key"})
+    same_text = texts["doc_id"].eqNullSafe(found["hit_doc_id"]) & texts["key"].eqNullSafe(found["hit_key"])
+    whole = texts.join(found, same_text, "left").select("doc_id", "key", "words", "hits")
+    real = F.filter("hits", lambda h: F.slice("words", h["at"] + 1, h["length"]) == h["window"])
+    own = F.struct(F.size("words").cast("long").alias("n_words"), F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("item_ids"))
+    none = F.lit(None).cast("long")
+    hits = F.transform(real, lambda h: F.struct(none.alias("n_words"), h["at"].alias("at"), h["length"].alias("length"), h["item_ids"].alias("item_ids")))
+    rows = whole.select("doc_id", "key", F.inline(F.concat(F.array(own), F.coalesce(hits, F.array().cast("array<struct<n_words: long, at: int, length: int, item_ids: array<string>>>")))))
+    return rows.select("doc_id", "key", "n_words", _hit(F.col("at"), F.col("length")).alias("span"), "item_ids")
+
+
+def _runs(places: Column) -> Column:
+    """Sorted places as spans ``(start, end)``: a span starts where the place before is missing."""
+    starts = F.filter(places, lambda p, i: F.coalesce(F.get(places, i - 1) < p - 1, F.lit(True)))
+    ends = F.filter(places, lambda p, i: F.coalesce(F.get(places, i + 1) > p + 1, F.lit(True)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
+
+
 def _numbered(hashes: Column, length: int) -> Column:
     return F.transform(
         hashes, lambda h, i: F.struct(h.alias("hash"), F.lit(length).alias("length"), i.alias("at"))
@@ -163,19 +196,6 @@ def hashed_windows(known: DataFrame, lengths: list[int]) -> DataFrame:
     return known.select("length", hash_.alias("hash"), "window", "item_ids")
 
 
-def _no_spans() -> Column:
-    return F.expr("cast(array() as array<struct<start: int, end: int>>)")
-
-
-def _add_span(done: Column, span: Column) -> Column:
-    """Spans come by start; one that begins within the last or at its end lengthens it."""
-    last = F.element_at(done, F.lit(-1))
-    longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-    head = F.slice(done, F.lit(1), F.size(done) - 1)
-    joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"])
-    return F.when(joins, F.concat(head, F.array(longer))).otherwise(F.concat(done, F.array(span)))
-
-
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents, all their columns, that hold no benchmark window; rows with equal ``doc_id``,
     or none, are kept or taken out each by its own text."""

@@ -14,8 +14,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, decontaminate, quality, queries, repeats, similar
-from pagemill.session import stored
+from pagemill.llm import bpe, decontaminate, quality, queries, repeats, simhash
+from pagemill.session import discard, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.deduplicated(docs)
+    return simhash.deduplicated(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written before the next reads it."""
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, kept = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if kept is not None:
+            discard(kept)
+        kept = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

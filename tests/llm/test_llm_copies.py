@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-from pagemill.llm import components, repeats, similar, simhash, suffix_sort
+from pagemill.llm import components, repeats, simhash, suffix_sort
 
 from .conftest import rows_of
 
@@ -85,10 +85,16 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_one_of_each_group_stays(odd, odd_rows):
+    """One row of each component, under its smallest id, none last."""
     kept = simhash.deduplicated(odd)
     assert kept.columns == odd.columns
-    ids = {i for i, _, c in plain_near_copies(odd_rows) if i == c}
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(ids, key=repr)
+    group = plain_components([plain_simhash(t) for _, t in odd_rows])
+    first = {}
+    for (doc_id, _), g in zip(odd_rows, group, strict=True):
+        first[g] = min(first.get(g, (True, 0)), (doc_id is None, doc_id or 0))
+    of_text = {text: g for (_, text), g in zip(odd_rows, group, strict=True)}
+    got = {of_text[r.text]: (r.doc_id is None, r.doc_id or 0) for r in kept.collect()}
+    assert got == first and kept.count() == len(first)
 
 
 def test_one_text_of_each_group_stays_without_ids(spark):
@@ -99,76 +105,6 @@ def test_one_text_of_each_group_stays_without_ids(spark):
     assert rows_of(simhash.deduplicated(docs)) == sorted(want, key=repr)
 
 
-def plain_groups(rows, shingle=5, similarity=0.8):
-    """Texts by group, all pairs of shingle sets compared."""
-    sets = []
-    for _, text in rows:
-        words = (text or "").encode().translate(LOWER).split()
-        sets.append({b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0:
-                old, new = group[a], group[b]
-                group = [new if g == old else g for g in group]
-    return group
-
-
-def planted_copies(seed=11, n=40):
-    """Texts of 150 words, each with a chain of copies with one to four words changed, under ids,
-    repeated ids and none."""
-    rng = random.Random(seed)
-    rows = []
-    for base in range(n):
-        words = [f"w{rng.randrange(3000)}" for _ in range(150)]
-        for copy in range(5):
-            rows.append((rng.choice([None, base, 1000 + len(rows)]), " ".join(words)))
-            for _ in range(copy + 1):
-                words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
-    return rows + [(None, None), (3, ""), (None, "few words"), (3, "few  WORDS"), (9, "other")]
-
-
-def test_stage_keeps_one_of_each_similar_group(spark):
-    rows = planted_copies()
-    group = plain_groups(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = [(r.doc_id, r.text) for r in similar.deduplicated(docs).collect()]
-    by_row = {}
-    for row, g in zip(rows, group, strict=True):
-        assert by_row.setdefault(row, g) == g
-    assert len(kept) == len(set(group)) < len(rows) / 2
-    assert {by_row[row] for row in kept} == set(group)
-
-
-def test_links_of_chunks_are_those_of_all_pairs(spark):
-    rng = random.Random(4)
-    sets, grown = [], set(range(60))
-    for n in range(90):
-        grown = (grown - {rng.choice(sorted(grown)) for _ in range(rng.choice([2, 4, 12]))}) | {1000 * n + i for i in range(5)}
-        sets.append((f"n{n:03}", "n000", sorted(grown)))
-    links = similar.verified_links(spark.createDataFrame(sets, "node string, root string, hashes array<long>"), chunk_rows=7)
-    roots = {r.node: r.root for r in components.connected_components(links).collect()}
-    group = list(range(90))
-    for a in range(90):
-        for b in range(a):
-            one, two = set(sets[a][2]), set(sets[b][2])
-            if len(one & two) >= 0.8 * len(one | two):
-                new, old = sorted((group[a], group[b]))
-                group = [new if g == old else g for g in group]
-    assert 1 < len(set(group)) < 90
-    assert [roots.get(f"n{n:03}", f"n{n:03}") for n in range(90)] == [f"n{g:03}" for g in group]
-
-
-def test_recall_of_band_keys():
-    rng = np.random.default_rng(2)
-    found = 0
-    for _ in range(1000):
-        both, one, two = np.split(rng.integers(0, 2**64, 500, np.uint64), [400, 450])  # similarity 0.8
-        keys = [set(similar.band_keys(np.unique(np.concatenate([both, own])))) for own in (one, two)]
-        found += bool(keys[0] & keys[1])
-    assert found >= 999
-
-
 def plain_repeats(rows, length=200):
     texts = [(t or "").encode() for _, t in rows]
     seen = {}

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -125,13 +126,29 @@ def test_contamination(spark, odd, odd_rows, broadcast):
     got = decontaminate.contamination(odd, benchmark, broadcast_windows=broadcast).drop("hit_words")
     assert rows_of(got) == plain_contamination(odd_rows, items)
     kept = decontaminate.without_contaminated(odd, benchmark)
-    bad = {r[0] for r in plain_contamination(odd_rows, items) if r[5]}
+    clean = [row for row in odd_rows if not plain_contamination([row], items)[0][5]]
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, _ in odd_rows if i not in bad), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(clean, key=repr)
     assert decontaminate.contamination(odd, benchmark.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(odd.limit(0), benchmark).count() == 0
 
 
+def test_spans_of_hit_words(spark):
+    """Spans that meet are one; the text is long, and both joins give the same."""
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 14)))) for i in range(30)]
+    text = " ".join(f"w{rng.randrange(9)}" for _ in range(40_000))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, t) for i, t in items if len(t.split()) > 3], "item_id long, text string")
+    plain = plain_contamination([(1, text)], [tuple(r) for r in benchmark.collect()])[0]
+    for broadcast in (decontaminate.BROADCAST_WINDOWS, 0):
+        one, two, empty = decontaminate.contamination(docs, benchmark, broadcast_windows=broadcast).orderBy("doc_id").collect()
+        assert one == two and tuple(one)[:6] == plain and empty.hit_words == []
+        spans = [(s.start, s.end) for s in one.hit_words]
+        assert sum(e - s for s, e in spans) == one.n_hit
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_clean_texts_stay_beside_contaminated_ones(spark):
     """Without an id or under one that repeats, each text is judged on its own."""
     item = "seven quiet lanterns by the river stone of the old harbour"

@@ -40,7 +40,8 @@ from ..session import discard, stored
 
 MIN_COUNT, MAX_WORDS = 10, 3
 SAMPLE, SAMPLE_COUNT = 16, 2
-CHUNK = 8_000_000  # bytes of text that a task counts at a time
+CHUNK = 3_000_000  # bytes of text that a task counts at a time
+ROWS_AT_ONCE = 50_000
 BITS, MAX_BITS, SHARD = 16, 1 << 30, 1 << 20
 
 _END = ord(".")
@@ -129,13 +130,15 @@ def _counted(lang: str, texts: list[bytes], max_words: int, now: dict | None, be
     """Counts of one chunk.  ``now`` and ``before`` have filters by phrase length: this pass counts what
     ``now`` lets pass (None: all), less what ``before`` let an earlier pass count (None: it is the first)."""
 
-    def rows(length: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({
-            "lang": pa.array([lang] * len(counts), pa.string()),
-            "words": pa.array(np.full(len(counts), length, np.int32)),
-            "phrase": phrases.cast(pa.binary()),
-            "f": pa.array(counts.astype(np.int64)),
-        })
+    def rows(length: int, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(counts), ROWS_AT_ONCE):
+            some = counts[start : start + ROWS_AT_ONCE].astype(np.int64)
+            yield pa.record_batch({
+                "lang": pa.repeat(pa.scalar(lang, pa.string()), len(some)),
+                "words": pa.array(np.full(len(some), length, np.int32)),
+                "phrase": phrases.slice(start, len(some)).cast(pa.binary()),
+                "f": pa.array(some),
+            })
 
     words = split_words(texts)
     if len(words) == 0:
@@ -148,8 +151,8 @@ def _counted(lang: str, texts: list[bytes], max_words: int, now: dict | None, be
     if before is None:
         counts = np.bincount(ids[real], minlength=len(known))
         used = np.flatnonzero(counts)
-        yield rows(0, pa.array([b""], pa.binary()), np.array([real.sum()]))
-        yield rows(1, known.take(pa.array(used)), counts[used])
+        yield from rows(0, pa.array([b""], pa.binary()), np.array([real.sum()]))
+        yield from rows(1, known.take(pa.array(used)), counts[used])
     # at[i]: the number of the phrase that begins at word i, -1 where there is none or it can't matter.
     at, names, own = np.where(real, ids, -1), known, hashes
     for length in range(2, max_words + 1):
@@ -172,7 +175,7 @@ def _counted(lang: str, texts: list[bytes], max_words: int, now: dict | None, be
         own = extended(own[heads], hashes[tails])
         names = pc.binary_join_element_wise(names.take(pa.array(heads)), known.take(pa.array(tails)), pa.scalar(b" ", names.type))
         if new.any():
-            yield rows(length, names.filter(pa.array(new)), counts[new])
+            yield from rows(length, names.filter(pa.array(new)), counts[new])
 
 
 def count_phrases(texts: DataFrame, max_words: int, filters=None) -> DataFrame:

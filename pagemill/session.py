@@ -9,8 +9,10 @@ import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+_bucketed: dict[int, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -45,13 +47,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote; nothing may read them any more."""
+    """Delete tables that ``stored`` or ``bucketed`` wrote; nothing may read them any more."""
     for df in tables:
         hadoop = df.sparkSession._jsc.hadoopConfiguration()
         folders = {os.path.dirname(f) for f in df.inputFiles()}
         for folder in folders:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(hadoop).delete(path, True)
+        if id(df) in _bucketed:
+            df.sparkSession.sql(f"drop table {_bucketed.pop(id(df))}")
+
+
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """As ``stored``, one file for each hash bucket of the keys: a join on all of them reads this side where
+    it lies and shuffles only the other.  There are as many buckets as shuffle partitions."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = new_folder(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, *[F.col(k) for k in keys])
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    _bucketed[id(found)] = table
+    return found
 
 
 def reused(build):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import classify, crawl, links
 from pagemill.operators.joins import salted_join
+from pagemill.session import discard, stored
 
 PAGE = "page_id bigint, url string, html string"
 
@@ -198,6 +199,44 @@ def test_paginate(spark):
     assert len(run(urls("http://h/1"), max_pages=9, disallowed=barred, ignore_robots=True)) == 3
 
 
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    """10,000 pages in a row, a loop behind a tail, and many starts on one page."""
+    rounds = []
+    monkeypatch.setattr(crawl, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    links = spark.range(1, 10_000).selectExpr("concat('c', id) as url", "concat('c', id + 1) as next_url")
+    loop = spark.createDataFrame([("t1", "t2"), ("t2", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("x", "x"), ("t1", "t3")], "url string, next_url string")
+    hub = spark.range(300).selectExpr("concat('h', id) as url", "'t1' as next_url")
+    starts = spark.createDataFrame([("c1",), ("t1",), ("x",), ("c1",)], "url string").union(hub.select("url"))
+    named = [df.select(*[F.concat(F.lit("s://"), c).alias(c) for c in df.columns]) for df in (starts, links.union(loop).union(hub))]
+    got = crawl.paginate(*named)
+    per_start = {r.start: (r.n, r.last) for r in got.groupBy("start").agg(F.count("*").alias("n"), F.max("page_no").alias("last")).collect()}
+    assert per_start["s://c1"] == (10_000, 10_000) and per_start["s://t1"] == (5, 5) and per_start["s://x"] == (1, 1)
+    assert all(per_start[f"s://h{n}"] == (6, 6) for n in range(300))
+    assert [r.url for r in got.where("start = 's://t1'").orderBy("page_no").collect()] == [f"s://{u}" for u in ("t1", "t2", "a", "b", "c")]
+    assert got.where("start = 's://c1' and url = concat('s://c', page_no)").count() == 10_000
+    assert rounds.count("pages") < 20
+
+
+def test_links_lie_where_they_are(spark):
+    """A round of the crawl shuffles its frontier, not the links or the pages that answer; heavy sources in parts too."""
+    rows = [("hub", f"u{n}", n) for n in range(40)] + [(f"u{n}", "hub", 0) for n in range(40)]
+    links = spark.createDataFrame(rows, "src_url string, url string, pos int")
+    parents = spark.createDataFrame([("hub", 1), ("u3", 2)], "src_url string, parent bigint")
+    graph = crawl.LinkGraph(links, heavy_rows=10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = graph.targets(parents)
+        assert joined.count() == 41 and joined.select("url").distinct().count() == 41
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the frontier's
+    assert graph.links.select("part").distinct().count() == 4
+    discard(*graph.tables)
+    assert not spark.catalog.listTables(pattern="crawl_links*")
+
+
 def test_candidates(spark):
     rows = [(2, 1, "http://h/a", "internal"), (1, 2, "http://h/b", "internal"), (1, 1, "http://o/", "external"), (1, 3, "#", "anchor"), (3, 1, "http://h/b", "internal"), (1, 4, "ftp://h/", "internal")]
     found = spark.createDataFrame([(p, n, "", h, t) for p, n, h, t in rows], "page_id bigint, pos int, text string, href string, type string")

@@ -3,17 +3,20 @@ URI that Spark can write to will do, an object store included."""
 
 from __future__ import annotations
 
-import re
+import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import with_fingerprint
 from ..operators.pages import family
 from ..operators.records import table_cells
 from ..schemas import SCHEMA_VERSION
+from ..session import new_folder
+from . import sink
 
 FORMATS = ["csv", "json", "jsonl", "tables"]
+MANIFEST_FILE = "file string, bytes bigint"
 RENAMED = {
     "page_id": "page", "index": "idx", "check": "check_name", "where": "where_clause", "when": "when_ts",
 }
@@ -110,12 +113,28 @@ def export_all(
     return written
 
 
-def manifest_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file, bytes``: every file below ``path``, by its place relative to it."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    folder = re.sub("^[a-z0-9]+:/*", "/", path.rstrip("/"))
-    return listed.select(plain.substr(F.lit(len(folder) + 2), F.length(plain)).alias("file"), F.col("length").alias("bytes"))
+def manifest_files(spark: SparkSession, path: str, at_once: int = 10_000) -> DataFrame:
+    """``file, bytes``: every file below ``path``, by its place relative to it: empty ones too, and those whose
+    names begin with ``_`` or a dot, which Spark's own readers pass over.
+
+    Hadoop's file system lists the folder, so any store will do that Spark writes to.  The listing is an iterator,
+    and the driver holds ``at_once`` names of it before they are written as rows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(folder).toUri().getPath().rstrip("/")
+    listed, out, rows = system.listFiles(folder, True), new_folder(spark, "manifest"), []
+
+    def write() -> None:
+        spark.createDataFrame(rows, MANIFEST_FILE).coalesce(1).write.mode("append").parquet(out)
+        rows.clear()
+
+    while listed.hasNext():
+        status = listed.next()
+        rows.append((status.getPath().toUri().getPath()[len(root) + 1 :], status.getLen()))
+        if len(rows) == at_once:
+            write()
+    write()
+    return spark.read.schema(MANIFEST_FILE).parquet(out)
 
 
 def manifest(meta: DataFrame, counts: DataFrame, files: DataFrame) -> DataFrame:
@@ -143,15 +162,24 @@ def sink_row(items: DataFrame) -> DataFrame:
 
 def push(items: DataFrame, path: str, mode: str = "replace") -> int:
     """Write the sink's rows and give their number.  Replace writes anew, append adds; no items
-    leave the target as it is."""
+    leave the target as it is.
+
+    The rows go through ``sink.RowSink``: they count once whatever tasks were run again, and the
+    number comes from the commit."""
     if mode not in ("replace", "append"):
         raise ValueError(f"unknown mode {mode!r}")
     rows = sink_row(items)
     if rows.isEmpty():
         return 0
-    seen = Observation()
-    watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    watched.write.mode("overwrite" if mode == "replace" else "append").csv(
-        path, header=True, escape='"'
-    )
-    return seen.get["rows"]
+    spark = items.sparkSession
+    spark.dataSource.register(sink.RowSink)
+    push_id = uuid.uuid4().hex
+    writer = rows.write.format(sink.RowSink.name()).option("path", path).option("push", push_id)
+    writer.mode("overwrite" if mode == "replace" else "append").save()
+    done = sink.read_commits(spark, path).where(F.col("push") == push_id)
+    return done.agg(F.sum("rows")).first()[0]
+
+
+def pushed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all pushes that were committed."""
+    return sink.read_rows(spark, path)

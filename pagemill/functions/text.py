@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
-from html.entities import name2codepoint
+import zlib
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,7 +34,9 @@ UNUSUAL = "[^%s]" % "".join(
     f"\\x{c:02x}" for c in [*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 )
 NOT_PRINTABLE = r"\p{C}"  # line and paragraph separators are white space
-ENTITY_PIECES = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"
+ENTITY_PIECES = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
+NAME_BUCKETS = 512
+LONGEST_BARE = max(len(n) for n in html5 if not n.endswith(";"))  # names that count without semicolon
 
 
 def let(value: Column, body) -> Column:
@@ -151,14 +155,43 @@ def _number(digits: Column, base: int) -> Column:
 
 
 def _code_point(n: Column) -> Column:
-    ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    """References to the 32 places after 127 mean the characters that Windows has there; those to
+    other control and non-characters mean nothing."""
+    windows = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
+    in_windows = F.get(F.array(*map(F.lit, windows)), (n - 128).cast("int"))
+    nothing = (
+        n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
+        | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    bad = (n < 1) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(bad, "\ufffd").when(n.between(128, 159), in_windows).when(nothing, "").otherwise(char)
 
 
-def _entity(piece: Column) -> Column:
-    named = F.from_json(
-        F.lit(json.dumps({n: chr(c) for n, c in {**name2codepoint, "apos": 39}.items()})), "map<string,string>"
-    )
+@functools.cache
+def _names() -> str:
+    """Names and their characters as JSON, in buckets by checksum, as a look-up in a map reads it from its start."""
+    buckets: list[dict] = [{} for _ in range(NAME_BUCKETS)]
+    for known, chars in html5.items():
+        buckets[zlib.crc32(known.encode()) % NAME_BUCKETS][known] = chars
+    return json.dumps(buckets)
+
+
+def _name_or_prefix(piece: Column, names: Column) -> Column:
+    """The whole name, or else the longest beginning that is one without semicolon."""
+
+    def named(name: Column) -> Column:
+        return F.get(names, (F.crc32(name.cast("binary")) % NAME_BUCKETS).cast("int"))[name]
+
+    body = F.substring(piece, 2, 40)
+    found = [named(body)]
+    for n in range(LONGEST_BARE, 1, -1):
+        longer = F.length(body) > n
+        found.append(F.when(longer, F.concat(named(F.substring(body, 1, n)), F.substring(body, n + 1, 40))))
+    return F.coalesce(*found, piece)
+
+
+def _entity(piece: Column, names: Column) -> Column:
     body = F.regexp_replace(piece, "^&|;$", "")
     return (
         F.when(
@@ -166,7 +199,7 @@ def _entity(piece: Column) -> Column:
             _code_point(_number(F.regexp_replace(body, "^#[xX]", ""), 16)),
         )
         .when(piece.rlike("^&#[0-9]"), _code_point(_number(F.regexp_replace(body, "^#", ""), 10)))
-        .when(piece.rlike("^&[A-Za-z]"), F.coalesce(named[body], piece))
+        .when(piece.rlike("^&."), _name_or_prefix(piece, names))
         .otherwise(piece)
     )
 
@@ -174,8 +207,12 @@ def _entity(piece: Column) -> Column:
 def html_unescape(s: Column) -> Column:
     """Decode named and numeric character references."""
 
+    table = F.from_json(F.lit(_names()), "array<map<string,string>>")
+
     def decoded(s: Column) -> Column:
         pieces = F.regexp_extract_all(s, F.lit(ENTITY_PIECES), F.lit(0))
-        return F.when(s.contains("&"), F.array_join(F.transform(pieces, _entity), "")).otherwise(s)
+        # The table is a constant that stands in the expression once.
+        joined = let(table, lambda names: F.array_join(F.transform(pieces, lambda p: _entity(p, names)), ""))
+        return F.when(s.contains("&"), joined).otherwise(s)
 
     return let(s, decoded)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,29 +99,38 @@ def extract_pages(
     preset: str = "",
     item_selector: str = "",
     min_items: int = 3,
+    families: Collection[str] = tuple(FAMILIES),
 ) -> DataFrame:
     """Header, links, images, headings, tables, items, next page and issues of every page.
 
     The page is cut into tokens once and all families are arrays in its row; ``family`` turns one
-    of them into rows.  Store the result before reading several families from it.
+    of them into rows.  Store the result before reading several families from it.  Only the
+    ``families`` asked for are worked out; issues need all others but tables.
     """
+    unknown = set(families) - set(FAMILIES)
+    if unknown:
+        raise KeyError(f"Unknown families: {', '.join(sorted(unknown))}. Available: {', '.join(FAMILIES)}")
     doc = _with_kind(pages, kind, preset, item_selector, min_items)
+    with_issues = "issues" in families
+    makers = {"links": links_column, "images": images_column, "headings": headings_column, "tables": tables_column}
+    made = {n: make() for n, make in makers.items() if n in families or with_issues and n != "tables"}
+    found = [c for c in ("items", "selector", "candidates") if c != "items" or c in families or with_issues]
     rows = once(
         doc,
         ["page_id", "url", "tokens"],
-        **{c: F.col(f"found.{c}") for c in ("items", "selector", "candidates")},
+        **{c: F.col(f"found.{c}") for c in found},
         **header_columns(),
-        links=links_column(),
-        images=images_column(),
-        headings=headings_column(),
-        tables=tables_column(),
+        **made,
         next_url=F.coalesce(next_column(preset), F.lit("")),
     )
-    rules = [*text_rules(), *row_rules(), *element_rules(), *item_rules()]
     kept = ["page_id", "url", "title", "description", "lang", "selector", "candidates", "next_url"]
+    kept += [f for f in FAMILIES if f != "issues" and f in families]
+    if not with_issues:
+        return rows.select(*kept)
+    rules = [*text_rules(), *row_rules(), *element_rules(), *item_rules()]
     # behind a generator too: the optimizer tests the size of an array before it explodes it, and
     # would work out the issues a second time for that
-    return once(rows, [*kept, *[f for f in FAMILIES if f != "issues"]], issues=numbered(rules))
+    return once(rows, kept, issues=numbered(rules))
 
 
 def family(extracted: DataFrame, name: str) -> DataFrame:

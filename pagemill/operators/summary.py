@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import price_amount, severity_rank, strip_ws
 from ..functions.urls import host_or_local
+from ..session import stored
 
 # Rows shown in the report's previews.
 PREVIEW_ROWS = {"items": 2000, "links": 1000, "images": 500, "tables": 500}
@@ -122,16 +123,49 @@ def sort_issues(issues: DataFrame) -> DataFrame:
     return issues.orderBy(severity_rank(F.col("severity")), "page_id", "pos")
 
 
-def preview(df: DataFrame, kind: str) -> DataFrame:
+def preview(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
     """The first rows a report shows of a family."""
+    return df.orderBy(*_own_order(df)).limit(PREVIEW_ROWS[kind] if rows is None else rows)
+
+
+def _own_order(df: DataFrame) -> list[Column]:
     order = [c for c in ("page_id", "table_no", "index", "pos", "row_no", "col_no") if c in df.columns]
-    return df.orderBy(*[F.col(f"`{c}`") for c in order]).limit(PREVIEW_ROWS[kind])
+    return [F.col(f"`{c}`") for c in order]
+
+
+def natural_key(text: Column) -> Column:
+    """A text that sorts as people sort: runs of digits by value, letters by alphabet and not by case.
+
+    A run of digits is its length, without zeros in front, and its digits."""
+    pieces = F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def sortable(piece: Column) -> Column:
+        digits = F.regexp_replace(piece, "^0+(?=.)", "")
+        return F.when(piece.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 5, "0"), digits)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, sortable), "")
 
 
 def report_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """Rows whose cell reads as a number by number, the others after them by text."""
-    cell = F.col(f"`{column}`").cast("string")
-    number = price_amount(cell)
+    """Rows whose cell reads as a number by number, the others after them in natural order of their text, in
+    the alphabet's order of Unicode.  Equal cells keep the order of the rows.  Descending turns it round."""
+    cell = F.trim(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
+    number, key = price_amount(cell), F.collate(natural_key(cell), "UNICODE")
     if ascending:
-        return df.orderBy(number.asc_nulls_last(), cell.asc())
-    return df.orderBy(number.desc_nulls_last(), cell.desc())
+        return df.orderBy(number.asc_nulls_last(), key.asc(), *_own_order(df))
+    return df.orderBy(number.desc_nulls_first(), key.desc(), *_own_order(df))
+
+
+def with_place(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of a sorted table with their place in it, from 1.
+
+    The sort leaves ranges of rows; they are stored with their place in the range, and only one count for each range
+    comes to the driver, so no task numbers all rows."""
+    spark = ordered.sparkSession
+    kept = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "places")
+    part, within = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(kept.groupBy(part.alias("part")).count().collect())
+    before = [(r["part"], sum(q["count"] for q in sizes[:n])) for n, r in enumerate(sizes)]
+    moves = spark.createDataFrame(before, "_part int, _before bigint")
+    placed = kept.withColumn("_part", part).join(F.broadcast(moves), "_part")
+    return placed.select((F.col("_before") + within + 1).alias(name), *[F.col(f"`{c}`") for c in ordered.columns])

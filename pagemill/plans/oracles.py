@@ -369,6 +369,25 @@ ORACLES["manifest_folders"] = """SELECT unnest(['items.csv', 'links.csv', 'image
   'data/items', 'data/links', 'data/images', 'data/headings', 'data/qa_issues']) AS folder"""
 ORACLES["report_filter"] = f"SELECT * FROM ({ITEMS}) WHERE contains(lower(title), 'brand#1')"
 ORACLES["report_sort"] = f'SELECT page_id, "index", price FROM ({ITEMS})'
+ORACLES["report_order"] = f"""SELECT row_number() OVER (ORDER BY CAST(printf('%.2f', p_retailprice) AS DOUBLE) DESC, page_id, "index") AS place,
+  page_id, "index" FROM (SELECT *, p_partkey // 20 AS page_id, CAST(p_partkey % 20 + 1 AS INTEGER) AS "index" FROM part)"""
+ORACLES["report_title_order"] = """SELECT row_number() OVER (ORDER BY p_partkey) AS place, p_partkey // 20 AS page_id,
+  CAST(p_partkey % 20 + 1 AS INTEGER) AS "index", 'no. ' || p_partkey AS title FROM part"""
+ORACLES["issue_order"] = f"""WITH {FAULTY_HEADER} SELECT row_number() OVER (ORDER BY array_position(['High', 'Medium', 'Low'], severity),
+  page_id, array_position(['Missing <title>', 'Long <title>', 'Missing meta description', 'Missing lang attribute', 'No <h1>',
+  'Multiple <h1>'], "check")) AS place, page_id, severity, "check" FROM ({QA_HEADER})"""
+ORACLES["preview_images"] = f"""SELECT p_partkey // 20 AS page_id, '{SHOP}/img/' || p_partkey || '.jpg' AS src, p_name AS alt
+FROM part ORDER BY p_partkey LIMIT 500"""
+ORACLES["jsonl_round_trip"] = ITEMS
+ORACLES["document_files"] = ITEMS
+ORACLES["catalog_tables"] = f"""SELECT 'items' AS table_name, CAST(sum(cards) AS BIGINT) AS n FROM ({PER_PAGE})
+UNION ALL SELECT 'links', CAST(sum(cards + 2) AS BIGINT) FROM ({PER_PAGE}) UNION ALL SELECT 'images', CAST(sum(cards) AS BIGINT) FROM ({PER_PAGE})
+UNION ALL SELECT 'headings', CAST(sum(1 + cards) AS BIGINT) FROM ({PER_PAGE}) UNION ALL SELECT 'qa_issues', 0 UNION ALL SELECT 'run_meta', 1"""
+ORACLES["table_files"] = ORACLES["table_cells"]
+ORACLES["pushed_rows"] = f"""SELECT fingerprint, title, CAST(2 AS BIGINT) AS times, (SELECT count(*) FROM part) AS pushed FROM ({MARKED})"""
+ORACLES["html_files"] = f"WITH {HEADER} SELECT page_id, title, lang FROM header"
+ORACLES["done_twice"] = """SELECT url, count(*) AS times, true AS done FROM pages WHERE page_id % 4 <> 3 GROUP BY url
+UNION ALL SELECT url, count(*), false FROM pages WHERE page_id % 4 = 3 AND url NOT IN (SELECT url FROM pages WHERE page_id % 4 <> 3) GROUP BY url"""
 ORACLES["preview"] = f'SELECT * FROM ({ITEMS}) ORDER BY page_id, "index" LIMIT 2000'
 
 # ---------------------------------------------------------------- JSON
@@ -378,6 +397,8 @@ ORACLES["json_items"] = f"""SELECT {ORDER_ITEM}, 'order ' || o_orderkey AS title
   '/o/' || o_orderkey AS link, '' AS image, o_orderstatus AS text FROM orders"""
 ORACLES["json_mapped_items"] = f"""SELECT {ORDER_ITEM}, o_orderpriority AS title, {money("o_totalprice")} AS price,
   '' AS link, '' AS image, CAST(o_orderkey AS VARCHAR) AS text FROM orders"""
+ORACLES["payload_files"] = f"SELECT payload_id, \"index\", title, price FROM ({ORACLES['json_items']})"
+ORACLES["capped_json_items"] = f"SELECT payload_id, \"index\", title FROM ({ORACLES['json_items']}) WHERE \"index\" <= 7"
 ORACLES["json_field_map"] = """SELECT payload_id, field, key FROM (SELECT DISTINCT o_orderkey // 25 AS payload_id FROM orders),
 (VALUES ('title', 'Name'), ('price', 'cost'), ('link', 'url'), ('image', ''), ('text', 'summary')) v(field, key)"""
 ORACLES["json_path_values"] = """SELECT o_orderkey // 25 AS payload_id, count(*) AS n,
@@ -454,9 +475,8 @@ ORACLES["upsert_users"] = """WITH ranked AS (SELECT user_id, event_id, event_typ
   QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id DESC) = 1)
 SELECT user_id, event_id, event_type FROM ranked
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 = 0) = 1"""
-ORACLES["stream_dedupe"] = (
-    "SELECT DISTINCT sha1('e.example.com/u/' || user_id)[:16] AS fingerprint FROM events"
-)
+ORACLES["stream_dedupe"] = """SELECT sha1('e.example.com/u/' || user_id)[:16] AS fingerprint, min(event_id) AS page_id
+FROM events GROUP BY user_id"""
 ORACLES["map_with_errors"] = """SELECT event_id, CASE WHEN k % 10 != 0 THEN CAST(2 * k AS VARCHAR) END AS result,
   CASE WHEN k % 10 = 0 THEN 'ValueError: round number' END AS error
 FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from ..operators import classify, crawl, dedupe, finish, guarded, incremental, l
 from ..operators import pages as whole
 from ..operators.presets import presets_table
 from ..sources import readers, writers
-from ..session import new_folder
+from ..session import new_folder, stored
 from ..streaming import live
 from . import fixtures as fx
 
@@ -85,6 +87,7 @@ def nav_nodes(spark, d):
 
 @query
 def nav_groups(spark, d):
+    """A check of ``item_groups``: those groups that SQL can say, of list entries."""
     groups = records.find_item_groups(fx.pages(spark, d))
     return groups.where("selector like '%> li'").select("page_id", "count", "score", "selector")
 
@@ -343,7 +346,7 @@ def _repeat_items(spark, d):
 
 @query
 def dedupe_items(spark, d):
-    return dedupe.dedupe_items(_repeat_items(spark, d))
+    return dedupe.dedupe_items(stored(_repeat_items(spark, d), "items"))
 
 
 @query
@@ -389,7 +392,9 @@ def run_counts(spark, d):
 
 @query
 def run_meta(spark, d):
-    return summary.run_meta(_catalog_run(spark, d), mode="crawl").drop("when", "secs")
+    """Needs no family of rows, so none is worked out."""
+    run = whole.extract_pages(fx.catalog_pages(spark, d), families=())
+    return summary.run_meta(run, mode="crawl").drop("when", "secs")
 
 
 @query
@@ -427,6 +432,104 @@ def sink_rows(spark, d):
     return writers.sink_row(dedupe.dedupe_items(_repeat_items(spark, d)))
 
 
+@query
+def jsonl_round_trip(spark, d):
+    """Items written as JSON lines and read back."""
+    path = new_folder(spark, "jsonl")
+    items = records.extract_items(fx.catalog_pages(spark, d))
+    writers.write_jsonl(items, path)
+    return spark.read.schema(items.schema).json(path)
+
+
+@query
+def document_files(spark, d):
+    """A JSON document for each page, written with the export and parsed again item by item."""
+    run = writers.save_extracted(_catalog_run(spark, d), new_folder(spark, "run"))
+    path = new_folder(spark, "export")
+    writers.export_all(run, path, {"json"})
+    item = "struct<`index`: int, title: string, price: string, link: string, image: string, text: string>"
+    parsed = F.from_json("document", f"items array<{item}>")
+    return spark.read.schema("page_id bigint, document string").json(f"{path}/run.json").select("page_id", F.inline(parsed["items"]))
+
+
+@query
+def catalog_tables(spark, d):
+    """The tables of a run saved in the catalog, twice, and counted there."""
+    run = writers.save_extracted(_catalog_run(spark, d), new_folder(spark, "run"))
+    database = f"run_{uuid.uuid4().hex}"
+    spark.sql(f"create database {database} location '{new_folder(spark, 'database')}'")
+    for _ in range(2):
+        writers.save_tables(run, summary.run_meta(run), database)
+    names = ["items", "links", "images", "headings", "qa_issues", "run_meta"]
+    counts = [spark.table(f"{database}.{n}").agg(F.lit(n).alias("table_name"), F.count("*").alias("n")) for n in names]
+    counted = stored(functools.reduce(DataFrame.unionByName, counts), "counts")
+    spark.sql(f"drop database {database} cascade")
+    return counted
+
+
+@query
+def table_files(spark, d):
+    """Cells of all HTML tables written as CSV and read back."""
+    path = new_folder(spark, "tables")
+    writers.write_html_tables(records.extract_tables(fx.table_pages(spark, d)), path)
+    cells = records.table_cells(records.extract_tables(fx.table_pages(spark, d)))
+    back = readers.read_report_csv(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema))
+    return back
+
+
+@query
+def pushed_rows(spark, d):
+    """Items pushed twice in place of what was there, then added once more: the rows of two pushes."""
+    path = new_folder(spark, "sink")
+    items = stored(dedupe.with_fingerprint(records.extract_items(fx.catalog_pages(spark, d))), "items")
+    pushes = [writers.push(items, path, mode) for mode in ("replace", "replace", "append")]
+    rows = writers.pushed(spark, path).groupBy("fingerprint", "title").agg(F.count("*").alias("times"))
+    return rows.withColumn("pushed", F.lit(pushes[-1]).cast("long"))
+
+
+@query
+def html_files(spark, d):
+    """Every page written as a file of its own and read back by its path."""
+    path = new_folder(spark, "html")
+    pages = fx.pages(spark, d).select(F.col("page_id").alias("page"), "html")
+    pages.repartition("page").write.partitionBy("page").text(path)
+    back = readers.read_html_files(spark, f"{path}/*/*.txt")
+    page = F.regexp_extract("url", "/page=([0-9]+)/", 1).cast("bigint").alias("page_id")
+    header = rows.page_header(back).join(back.select("page_id", "url"), "page_id")
+    return header.select(page, "title", "lang")
+
+
+@query
+def payload_files(spark, d):
+    """Every payload written as a file of its own, read back and parsed."""
+    path = new_folder(spark, "payloads")
+    bodies = fx.json_payloads(spark, d).select(F.col("payload_id").alias("payload"), "body")
+    bodies.repartition("payload").write.partitionBy("payload").text(path)
+    back = readers.read_json_payloads(spark, f"{path}/*/*.txt")
+    return payloads.items_from_json(back, "data.items[*]").select(
+        F.regexp_extract("source", "/payload=([0-9]+)/", 1).cast("bigint").alias("payload_id"), "index", "title", "price"
+    )
+
+
+@query
+def capped_json_items(spark, d):
+    """The first seven items of each payload, which holds more."""
+    return payloads.items_from_json(fx.json_payloads(spark, d), "data.items[*]", max_items=7).select("payload_id", "index", "title")
+
+
+@query
+def done_twice(spark, d):
+    """Pages done in three batches, one of them written twice, and what is left to do."""
+    path = new_folder(spark, "done")
+    pages = fx.table(spark, d, "pages").select("page_id", "url", F.lit("").alias("next_url"))
+    for batch in (0, 1, 1, 2):
+        incremental.mark_done(pages.where(F.col("page_id") % 4 == batch), path, batch_id=batch)
+    done, bits = incremental.done_pages(spark, path), incremental.done_bits(spark, path)
+    left = incremental.pending_pages(pages, done, bits=bits)
+    counted = done.groupBy("url").agg(F.count("*").alias("times"), F.lit(True).alias("done"))
+    return counted.unionByName(left.groupBy("url").agg(F.count("*").alias("times"), F.lit(False).alias("done")))
+
+
 @query
 def manifest(spark, d):
     run = writers.save_extracted(_catalog_run(spark, d), new_folder(spark, "run"))
@@ -481,6 +584,35 @@ def report_sort(spark, d):
     return summary.report_sort(items, "price", ascending=False).select("page_id", "index", "price")
 
 
+@query
+def report_order(spark, d):
+    """Items by falling price, with their place."""
+    items = stored(records.extract_items(fx.catalog_pages(spark, d)), "items")
+    return summary.with_place(summary.report_sort(items, "price", ascending=False)).select("place", "page_id", "index")
+
+
+@query
+def report_title_order(spark, d):
+    """Items in natural order of titles that end in a number."""
+    items = stored(records.extract_items(fx.catalog_pages(spark, d)), "items")
+    titles = items.withColumn("title", F.regexp_extract("title", r"no\. \d+$", 0))
+    return summary.with_place(summary.report_sort(titles, "title")).select("place", "page_id", "index", "title")
+
+
+@query
+def issue_order(spark, d):
+    """Issues from High to Low, with their place."""
+    issues = stored(whole.qa_header(fx.faulty_pages(spark, d)), "issues")
+    return summary.with_place(summary.sort_issues(issues)).select("place", "page_id", "severity", "check")
+
+
+@query
+def preview_images(spark, d):
+    """The first 500 pictures that a report shows."""
+    images = whole.family(whole.extract_pages(fx.catalog_pages(spark, d), families=["images"]), "images")
+    return summary.preview(images, "images").select("page_id", "src", "alt")
+
+
 @query
 def preview(spark, d):
     return summary.preview(records.extract_items(fx.catalog_pages(spark, d)), "items")
@@ -620,9 +752,11 @@ def stream_dedupe(spark, d):
         "ts",
         fx.text("https://e.example.com/u/", F.col("user_id"), "?e=", F.col("event_id")).alias("link"),
         *[F.lit("").alias(c) for c in ("image", "title", "price", "text")],
+        F.col("event_id").alias("page_id"),
+        F.lit(1).alias("index"),
     )
-    found = live.stream_dedupe(items, "ts", "36500 days").select("fingerprint")
-    return live.drain(found, "dedupe")
+    found = live.drain(live.stream_dedupe(items, "ts", "1 day"), "dedupe")
+    return live.settled(found).select("fingerprint", "page_id")
 
 
 @query

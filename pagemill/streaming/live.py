@@ -10,11 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.dedupe import with_fingerprint
+from ..operators.dedupe import first_rows, with_fingerprint
 from ..schemas import PAGE
 from ..session import new_folder
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*") -> DataFrame:
     """Stream of the parquet files that arrive in a folder under a name of the given pattern."""
@@ -32,10 +35,59 @@ def stream_extract(pages: DataFrame, operator: Callable[[DataFrame], DataFrame])
     return operator(pages)
 
 
+class FirstItem(StatefulProcessor):
+    """Keeps of each fingerprint the first item by (page_id, index) and hands out every item that comes before
+    what it has.  A timer frees the state ``delay_ms`` after the fingerprint's last item."""
+
+    def __init__(self, time: str, delay_ms: int):
+        self.time, self.delay_ms = time, delay_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "page_id bigint, `index` int, until bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        had = self.best.get() if self.best.exists() else None
+        first, latest = None, 0
+        for row in rows:
+            latest = max(latest, int(row[self.time].timestamp() * 1000))
+            if first is None or (row["page_id"], row["index"]) < (first["page_id"], first["index"]):
+                first = row
+        better = had is None or (first["page_id"], first["index"]) < (had[0], had[1])
+        until = max(latest, timerValues.getCurrentWatermarkInMs()) + self.delay_ms
+        if had is not None and had[2] < until:
+            self.handle.deleteTimer(had[2])
+        if had is None or had[2] < until:
+            self.handle.registerTimer(until)
+        place = (first["page_id"], first["index"]) if better else (had[0], had[1])
+        self.best.update((*place, until if had is None else max(until, had[2])))
+        if better:
+            yield first
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.best.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def stream_dedupe(items: DataFrame, time: str, delay: str) -> DataFrame:
-    """First item to arrive of each fingerprint; state older than ``delay`` is dropped."""
+    """The first item by (page_id, index) of each fingerprint, whatever the order of arrival.
+
+    An item is handed out when it arrives, and again one that comes before it; ``settled`` keeps the last word of each
+    fingerprint.  State goes ``delay`` after the last item of a fingerprint, and
+    items that are later than the watermark by that much are passed over."""
+    items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     stamped = with_fingerprint(items).withColumn(time, F.col(time).cast("timestamp"))
-    return stamped.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    keyed = stamped.withWatermark(time, delay).groupBy("fingerprint")
+    span = items.sparkSession.sql(f"select make_dt_interval() + interval {delay} as d").first().d
+    return keyed.transformWithState(FirstItem(time, int(span.total_seconds() * 1000)), stamped.schema, "Append", "EventTime")
+
+
+def settled(items: DataFrame) -> DataFrame:
+    """Of what ``stream_dedupe`` has written, the first item of each fingerprint."""
+    return first_rows(items, ["fingerprint"], ["page_id", "index"])
 
 
 def drain(stream: DataFrame, name: str, path: str = "", checkpoint: str = "") -> DataFrame:

@@ -157,12 +157,9 @@ def _number(digits: Column, base: int) -> Column:
 def _code_point(n: Column) -> Column:
     """References to the 32 places after 127 mean the characters that Windows has there; those to
     other control and non-characters mean nothing."""
-    windows = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
-    in_windows = F.get(F.array(*map(F.lit, windows)), (n - 128).cast("int"))
-    nothing = (
-        n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
-        | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    )
+    windows = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
+    in_windows = F.lit(windows).substr((n - 127).cast("int"), F.lit(1))
+    nothing = F.hex(n).rlike("^([1-8BEF]|1.|7F|FD[DE].|[0-9A-F]?FFF[EF]|10FFF[EF])$")
     bad = (n < 1) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     return F.when(bad, "\ufffd").when(n.between(128, 159), in_windows).when(nothing, "").otherwise(char)
@@ -183,12 +180,13 @@ def _name_or_prefix(piece: Column, names: Column) -> Column:
     def named(name: Column) -> Column:
         return F.get(names, (F.crc32(name.cast("binary")) % NAME_BUCKETS).cast("int"))[name]
 
+    def beginning(n: Column) -> Column:
+        return F.concat(named(body.substr(F.lit(1), n)), body.substr(n + 1, F.lit(40)))
+
     body = F.substring(piece, 2, 40)
-    found = [named(body)]
-    for n in range(LONGEST_BARE, 1, -1):
-        longer = F.length(body) > n
-        found.append(F.when(longer, F.concat(named(F.substring(body, 1, n)), F.substring(body, n + 1, 40))))
-    return F.coalesce(*found, piece)
+    lengths = F.filter(F.lit(list(range(LONGEST_BARE, 1, -1))), lambda n: n < F.length(body))
+    shorter = F.filter(F.transform(lengths, beginning), F.isnotnull)
+    return F.coalesce(named(body), F.get(shorter, F.lit(0)), piece)
 
 
 def _entity(piece: Column, names: Column) -> Column:

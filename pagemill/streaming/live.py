@@ -6,6 +6,7 @@ checkpoint takes the place of the list of pages done.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from ..session import new_folder
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_progress: dict[str, list[dict]] = {}
+
 
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*") -> DataFrame:
     """Stream of the parquet files that arrive in a folder under a name of the given pattern."""
@@ -106,4 +109,10 @@ def drain(stream: DataFrame, name: str, path: str = "", checkpoint: str = "") ->
         .start()
     )
     query.awaitTermination()
+    _progress[spark.sparkContext.applicationId] = [json.loads(p.json) for p in query.recentProgress]
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def progress(spark: SparkSession) -> list[dict]:
+    """What Spark reports of each batch of the last ``drain``: rows, watermark, size of the state."""
+    return _progress.get(spark.sparkContext.applicationId, [])

@@ -1,4 +1,5 @@
 import html
+from html.entities import html5
 from urllib.parse import urldefrag, urljoin, urlparse
 
 from pyspark.sql import functions as F
@@ -116,3 +117,11 @@ def test_references_of_any_length(spark):
     table = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, v string")
     got = [r.v for r in table.orderBy("n").select(tx.html_unescape(F.col("v")).alias("v")).collect()]
     assert got == ["Levi's", "A", "A", "\ufffd", "\ufffd", "\ufffd"]
+
+
+def test_all_html_5_references(spark):
+    names = sorted(html5)
+    texts = [f"a&{n} b" for n in names] + [f"&{n}x&{n.rstrip(';')[:-1]}=1" for n in names]
+    texts += [f"&#{n};" for n in [*range(300), 0xFDD0, 0xFDEF, 0xFDF0, 0xD800, 0x110000, 10**11, *(16**4 * k - 2 for k in range(1, 18))]]
+    texts += [f"&#x{n:x}" for n in range(300)] + ["&", "&&amp;", "&notit;", "&;", "&#", "&#x;", "&ampamp;", "&a b", "&" + "x" * 40 + ";", "&lt<p>"]
+    assert values(spark, numbered(texts), tx.html_unescape(F.col("v"))) == [html.unescape(t) for t in texts]

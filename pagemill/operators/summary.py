@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import price_amount, severity_rank, strip_ws
+from ..functions.text import severity_rank, strip_ws
 from ..functions.urls import host_or_local
 from ..session import stored
 
@@ -146,11 +146,18 @@ def natural_key(text: Column) -> Column:
     return F.array_join(F.transform(pieces, sortable), "")
 
 
+def report_number(cell: Column) -> Column:
+    """The number that a cell is, with at most four other characters on either side; else null."""
+    found = F.regexp_extract(cell, r"(?U)^\s*[^0-9\-\s]{0,4}\s?(-?[0-9][0-9,]*(?:\.[0-9]+)?)\s?[^0-9\s]{0,4}\s*$", 1)
+    return F.regexp_replace(found, ",", "").try_cast("double")
+
+
 def report_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     """Rows whose cell reads as a number by number, the others after them in natural order of their text, in
     the alphabet's order of Unicode.  Equal cells keep the order of the rows.  Descending turns it round."""
     cell = F.trim(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
-    number, key = price_amount(cell), F.collate(natural_key(cell), "UNICODE")
+    number = report_number(cell)
+    key = F.collate(F.when(number.isNull(), natural_key(cell)), "UNICODE")
     if ascending:
         return df.orderBy(number.asc_nulls_last(), key.asc(), *_own_order(df))
     return df.orderBy(number.desc_nulls_first(), key.desc(), *_own_order(df))

@@ -210,7 +210,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_
     vocabulary = telling_terms(documents.select("doc_id", "text").join(known, "doc_id").select("text", "label"))
     sent = spark.sparkContext.broadcast(vocabulary)
     rows = stored(documents.select("doc_id", term_counts(F.col("text"), sent).alias("t")).select("doc_id", "t.*"), "terms")
-    found = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    found = rows.select("terms").mapInArrow(_term_texts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     frequencies = {r.term: r.n for r in found.collect()}  # one row for each term of the vocabulary
     all_ = rows.count()
     idf = np.array([np.log((all_ + 1) / (frequencies.get(n, 0) + 1)) for n in range(len(vocabulary))])
@@ -230,6 +230,17 @@ def _arrays(terms, counts) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(terms, dtype=np.int64), np.asarray(counts, dtype=np.float64)
 
 
+def _term_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each term, one row for a task and term; a text has each of its terms once."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        seen = np.bincount(batch.column("terms").flatten().to_numpy(), minlength=len(total))
+        seen[: len(total)] += total
+        total = seen
+    used = np.flatnonzero(total)
+    yield pa.record_batch({"term": pa.array(used.astype(np.int32)), "n": pa.array(total[used].astype(np.int64))})
+
+
 def _scored(shared):
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 

@@ -14,8 +14,9 @@ Texts are encoded whole, whatever their length.  Of the table only ``doc_id`` an
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +28,27 @@ from .vocabulary import WORDS, Kept, Vocabulary, spaced_chunks
 
 LONG_WORD = 64
 KEPT_WORDS = 150_000
-NONE = 1 << 60
+#: No rank, and no id of both together.
+NONE = (1 << 60, -1)
+#: Letters and then marks: a space and the letters are one word of the pattern, the marks another.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
 def contiguous_merge(ids: list[int], merges: dict) -> list[int]:
     """Merge the lowest-ranked adjacent pair, the leftmost of equals, until none has a rank."""
-    parts = list(ids)
-    ranks = [merges[pair][0] if pair in merges else NONE for pair in zip(parts, parts[1:], strict=False)]
+    parts, found = list(ids), merges.get
+    ranks = list(map(found, zip(parts, parts[1:], strict=False), repeat(NONE)))
     while ranks:
         lowest = min(ranks)
-        if lowest == NONE:
+        if lowest is NONE:
             break
         at = ranks.index(lowest)
-        new = parts[at] = merges[parts[at], parts[at + 1]][1]
+        new = parts[at] = lowest[1]
         del parts[at + 1], ranks[at]
         if at < len(ranks):
-            pair = new, parts[at + 1]
-            ranks[at] = merges[pair][0] if pair in merges else NONE
+            ranks[at] = found((new, parts[at + 1]), NONE)
         if at:
-            pair = parts[at - 1], new
-            ranks[at - 1] = merges[pair][0] if pair in merges else NONE
+            ranks[at - 1] = found((parts[at - 1], new), NONE)
     return parts
 
 
@@ -56,13 +58,21 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.word = Kept(self._merged, KEPT_WORDS)
-        self.spaced = Kept(lambda chunk: tuple(self._words(" " + chunk)), KEPT_WORDS)
+        self.spaced = Kept(self._spaced, KEPT_WORDS)
 
     def _merged(self, word: str) -> tuple[int, ...]:
         symbols = self.vocabulary.word_symbols(word)
         merge = contiguous_merge if len(symbols) <= LONG_WORD else chained_merge
         return tuple(merge(symbols, self.vocabulary.merges))
 
+    def _spaced(self, chunk: str) -> tuple[int, ...]:
+        simple = SIMPLE.fullmatch(chunk)
+        if simple is None:
+            return tuple(self._words(" " + chunk))
+        letters, marks = simple.groups()
+        ids = self.word(" " + letters)
+        return ids + self.word(marks) if marks else ids
+
     def _words(self, piece: str) -> list[int]:
         return list(chain.from_iterable(map(self.word, WORDS.findall(piece))))
 

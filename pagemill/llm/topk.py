@@ -8,8 +8,9 @@ block.  A query visits the blocks from the highest bound down and stops when the
 below the score of its k-th hit so far.  Nothing is estimated: ties and bounds are integers.
 
 The queries are a stated set against all rows.  They are dealt by a hash of their id into slices of
-about ``slice_rows``, and one slice at a time is broadcast (``slice_rows * dimensions * 8`` bytes),
-so that what is broadcast doesn't grow with the table.  A first look at ``seed_rows`` candidates
+about ``slice_rows``, and one slice at a time is broadcast (``slice_rows * dimensions * 8`` bytes): its
+hits are written and the broadcast is destroyed before the next, so that what is broadcast doesn't
+grow with the table and the plan has one scan of hits however many slices there are.  A first look at ``seed_rows`` candidates
 gives every query a k-th score to begin with; it only saves work.
 
 Defined results: rows whose vector is null or holds null, NaN or infinity, and rows without id, take
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import new_folder
+
 BLOCK_ROWS = 256
 SLICE_ROWS = 16_384
 SEED_ROWS = 2_048
@@ -58,7 +61,7 @@ def top_k(
     asked = _prepared(queries, scale)
     slices = max(1, -(-asked.count() // slice_rows))
     seed = _matrix(candidates.limit(SEED_ROWS).toArrow())
-    found = None
+    folder = new_folder(spark, "hits")
     for n in range(slices):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == n)
         ids, rows = _matrix(mine.toArrow())
@@ -66,8 +69,9 @@ def top_k(
         first.scan(*seed)
         floor = first.kth()
         sent = spark.sparkContext.broadcast((n * 2**32, ids, rows, floor, k))
-        hits = candidates.mapInArrow(_searched(sent), HITS)
-        found = hits if found is None else found.unionAll(hits)
+        candidates.mapInArrow(_searched(sent), HITS).write.mode("append").parquet(folder)
+        sent.destroy()
+    found = spark.read.schema(HITS).parquet(folder)
     best = Window.partitionBy("query_no", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -5,8 +5,8 @@ what labels tell apart: terms whose log odds between the two labels are at least
 ``LEAST_Z`` standard errors from zero, at most ``VOCABULARY`` of them.  A text's vector has
 ``log(1 + count) * idf`` for each; document frequencies are counted over all documents.
 
-The examples, at most about ``fit_rows`` labelled rows chosen by a hash of doc_id, are held in an
-inverted index: postings of a term, in blocks of ``BLOCK`` examples with the largest weight of each.
+The examples, at most about ``fit_rows`` labelled rows chosen by hashes of doc_id and, where a doc_id
+has many rows, of the row, are held in an inverted index: postings of a term, in blocks of ``BLOCK`` examples with the largest weight of each.
 A query sums the block maxima of its terms, visits blocks from the highest bound down, and stops when
 the next bound is below its k-th cosine, so the k nearest are exact.  Each votes with the inverse of
 its distance; a logistic curve, fitted to the votes of the examples without themselves, makes scores
@@ -15,8 +15,8 @@ that is broadcast.
 
 Defined results: a null text counts as empty.  A text that shares no term with an example gets the
 share of label 1 among the examples without terms, made smooth, as its vote, and no evidence.  Of
-equal cosines those met first, in the fixed order of blocks and examples, are taken.  Without labelled rows scores are 0.5.
-Repeated rows are scored each; texts are read whole.
+equal cosines the smaller doc_ids are taken.  Without labelled rows scores are 0.5.  Repeated rows are
+scored each, and are one example; texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ NEAREST = 15
 BLOCK = 64
 THRESHOLD = 0.7
 KEPT_WORDS = 200_000
+KEPT_VOTES = 4_096
 WORD = re.compile(r"\w+")
 
 
@@ -108,7 +110,6 @@ class Examples:
         order = np.lexsort((np.array(ids, dtype=np.int64), np.array(lead, dtype=np.int64)))
         self.ids = np.array(ids, dtype=np.int64)[order]
         self.labels = np.array(labels, dtype=np.float64)[order]
-        self.place = {int(i): n for n, i in enumerate(self.ids)}
         vectors = [vectors[n] for n in order]
         sizes = [len(t) for t, _ in vectors]
         terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
@@ -127,30 +128,35 @@ class Examples:
         self.middle = (self.labels.sum() + 0.5) / (len(self.labels) + 1.0)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights, of length one."""
+        """Terms in ascending order and weights, of length one."""
+        order = np.argsort(terms)
+        terms, counts = terms[order], counts[order]
         weights = np.log1p(counts) * self.idf[terms]
         size = np.sqrt((weights**2).sum())
         return (terms, weights / size) if size else (terms[:0], weights[:0])
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples, exact; ``skip`` is left out."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples, exact; those with the doc_id ``skip`` are left out."""
         found, cosines = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.blocks:
             return found, cosines
         bounds = weights @ self.most[terms]
         for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or (len(found) == k and bounds[block] <= cosines[-1]):
+            # Bounds and cosines are sums in another order, so a bound is taken as a little higher.
+            if bounds[block] <= 0 or (len(found) == k and bounds[block] + 1e-9 < cosines[-1]):
                 break
             low, scores = block * BLOCK, np.zeros(BLOCK)
             firsts = terms * self.blocks + block
             for weight, a, b in zip(weights, self.starts[firsts], self.starts[firsts + 1], strict=True):
                 if b > a:
                     scores[self.owner[a:b] - low] += weight * self.weights[a:b]
-            if low <= skip < low + BLOCK:
-                scores[skip - low] = 0
-            hit = np.flatnonzero(scores > (cosines[-1] if len(found) == k else 0))
+            if skip is not None:
+                scores[np.flatnonzero(self.ids[low : low + BLOCK] == skip)] = 0
+            hit = np.flatnonzero((scores > 0) & (scores >= (cosines[-1] if len(found) == k else 0)))
+            if not len(hit):
+                continue
             found, cosines = np.concatenate([found, hit + low]), np.concatenate([cosines, scores[hit]])
-            best = np.argsort(-cosines, kind="stable")[:k]
+            best = np.lexsort((self.ids[found], -cosines))[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines
 
@@ -159,7 +165,7 @@ class Examples:
     ) -> tuple[float, np.ndarray, np.ndarray]:
         """Distance-weighted share of label 1 among the nearest, their numbers and cosines."""
         terms, weights = self.vector(terms, counts)
-        found, cosines = self.nearest(terms, weights, k, self.place.get(own_id, -1))
+        found, cosines = self.nearest(terms, weights, k, own_id)
         if not len(found):
             return float(self.empty_vote), found, cosines
         votes = 1 / (0.05 + np.sqrt(np.maximum(0, 2 - 2 * cosines)))
@@ -214,16 +220,24 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_
     frequencies = {r.term: r.n for r in found.collect()}  # one row for each term of the vocabulary
     all_ = rows.count()
     idf = np.array([np.log((all_ + 1) / (frequencies.get(n, 0) + 1)) for n in range(len(vocabulary))])
-    examples = rows.join(known, "doc_id").collect()
-    index = Examples(
-        [r.doc_id for r in examples], [r.label for r in examples], [_arrays(r.terms, r.counts) for r in examples], idf
+    examples = _bounded(rows.join(known, "doc_id").dropDuplicates(), fit_rows)
+    held = examples.collect()
+    index = Examples([r.doc_id for r in held], [r.label for r in held], [_arrays(r.terms, r.counts) for r in held], idf)
+    shared, curve = spark.sparkContext.broadcast(index), Curve()
+    if held:
+        alone = examples.mapInArrow(_left_out(shared, k), "vote double, label int").toArrow()
+        curve = Curve.fitted(np.asarray(alone["vote"]), np.asarray(alone["label"], dtype=float))
+    return rows.mapInArrow(
+        _scored(shared, curve, k), "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>"
     )
-    curve = Curve()
-    if examples:
-        alone = [index.vote(*_arrays(r.terms, r.counts), k, r.doc_id)[0] for r in examples]
-        curve = Curve.fitted(np.array(alone), np.array([r.label for r in examples], dtype=float))
-    shared = spark.sparkContext.broadcast((index, curve, k))
-    return rows.mapInArrow(_scored(shared), "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+
+
+def _bounded(examples: DataFrame, fit_rows: int) -> DataFrame:
+    """About ``fit_rows`` of the examples, by a hash of the row, if a repeated doc_id makes them over twice that."""
+    total = examples.count()
+    if total <= 2 * fit_rows:
+        return examples
+    return examples.where(F.pmod(F.xxhash64(*examples.columns), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
 
 
 def _arrays(terms, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -241,19 +255,37 @@ def _term_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"term": pa.array(used.astype(np.int32)), "n": pa.array(total[used].astype(np.int64))})
 
 
-def _scored(shared):
+def _left_out(shared, k: int):
+    """Votes of examples among all others, and their labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("terms"), batch.column("counts"), strict=True)
+            votes = [index.vote(*_arrays(terms.as_py(), counts.as_py()), k, doc_id)[0] for doc_id, terms, counts in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("label")], names=["vote", "label"])
+
+    return run
+
+
+def _scored(shared, curve: Curve, k: int):
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, curve, k = shared.value
+        index = shared.value
+
+        @lru_cache(maxsize=KEPT_VOTES)  # copies have the same terms in the same order
+        def judged(terms: bytes, counts: bytes) -> tuple[float, list[dict]]:
+            vote, found, cosines = index.vote(np.frombuffer(terms, np.int64), np.frombuffer(counts, np.float64), k)
+            near = zip(index.ids[found].tolist(), index.labels[found].astype(int).tolist(), cosines.tolist(), strict=True)
+            return vote, [{"doc_id": i, "label": y, "cosine": c} for i, y, c in near]
+
         for batch in batches:
             votes, shown = [], []
             for terms, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
-                vote, found, cosines = index.vote(*_arrays(terms.as_py(), counts.as_py()), k)
+                vote, near = judged(*(x.tobytes() for x in _arrays(terms.as_py(), counts.as_py())))
                 votes.append(vote)
-                shown.append(
-                    [{"doc_id": int(index.ids[n]), "label": int(index.labels[n]), "cosine": float(c)} for n, c in zip(found, cosines, strict=True)]
-                )
+                shown.append(near)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(curve(np.array(votes))), pa.array(shown, evidence)],
                 names=["doc_id", "score", "evidence"],

@@ -98,3 +98,10 @@ def test_empty_tables(spark, none, tmp_path):
     assert token_counts.count_tokens(none, BYTE_BPE).count() == 0
     token_files.write_token_ids(none, WORD_BPE, f"file://{tmp_path}/none")
     assert token_files.token_digest(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_plain_chunks_are_cut_as_by_the_pattern():
+    both, library = bpe.Codec(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    chunks = ["Straße", "été,", "word.", "word...", "a×b", "a÷", "ß?!", "don't", "x;y", "ÿ:", ".", "", "ſ", "ª", "word.\n"]
+    for text in [" ".join(chunks), *chunks, *(f" {c}" for c in chunks), *(f"a {c} b" for c in chunks)]:
+        assert both.encode(text) == library.encode(text, add_special_tokens=False).ids

@@ -91,6 +91,62 @@ def test_nearest_examples_are_exact():
         assert np.allclose(near, best) and np.allclose(cosines[found], near)
 
 
+def plain_toxicity(documents, labels, vocabulary, k):
+    """``doc_id -> (vote, nearest)`` by all cosines; ``nearest`` has doc_id, label and rounded cosine."""
+    number = {t: n for n, t in enumerate(vocabulary)}
+    counts = np.zeros((len(documents), len(vocabulary)))
+    for row, (_, text) in enumerate(documents):
+        for word in re.findall(r"\w+", (text or "").lower()):
+            for term in [word, *(word[:n] + "-" for n in (4, 5, 6) if len(word) > n)]:
+                if term in number:
+                    counts[row, number[term]] += 1
+    idf = np.log((len(documents) + 1) / ((counts > 0).sum(axis=0) + 1))
+    vectors = np.log1p(counts) * idf
+    sizes = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    vectors = np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
+    known = [n for n, (i, _) in enumerate(documents) if i in labels]
+    marks = np.array([labels[documents[n][0]] for n in known], dtype=float)
+    bare = sizes[known, 0] == 0
+    empty_vote, middle = (marks[bare].sum() + 0.5) / (bare.sum() + 1), (marks.sum() + 0.5) / (len(marks) + 1)
+
+    def judged(row, skip=None):
+        near = sorted((-round(float(vectors[row] @ vectors[n]), 10), documents[n][0], m) for n, m in zip(known, marks, strict=True))
+        near = [x for x in near if x[0] < 0 and x[1] != skip][:k]
+        if not near:
+            return empty_vote, []
+        pull = [1 / (0.05 + max(0, 2 + 2 * x[0]) ** 0.5) for x in near]
+        weak = 1 / (0.05 + 2**0.5)
+        vote = (sum(p * x[2] for p, x in zip(pull, near, strict=True)) + weak * middle) / (sum(pull) + weak)
+        return vote, [(x[1], int(x[2]), -x[0]) for x in near]
+
+    alone = [judged(n, documents[n][0])[0] for n in known]
+    return {i: judged(n) for n, (i, _) in enumerate(documents)}, np.array(alone), marks
+
+
+def test_toxicity_is_that_of_all_cosines(spark):
+    documents = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").where("toxic in (0, 1)")
+    vocabulary = toxicity.telling_terms(documents.join(labels, "doc_id").select("text", labels.toxic.alias("label")))
+    want, alone, marks = plain_toxicity(
+        [tuple(r) for r in documents.collect()], {r.doc_id: r.toxic for r in labels.collect()}, vocabulary, 5
+    )
+    curve = toxicity.Curve.fitted(alone, marks)
+    rows = toxicity.toxicity(documents, labels, k=5).collect()
+    assert len(vocabulary) > 5 and len(rows) == len(want)
+    for r in rows:
+        vote, near = want[r.doc_id]
+        assert [(e.doc_id, e.label) for e in r.evidence] == [x[:2] for x in near]
+        assert [e.cosine for e in r.evidence] == pytest.approx([x[2] for x in near], abs=1e-9)
+        assert r.score == pytest.approx(float(curve(np.array([vote]))[0]), abs=1e-5)
+
+
+def test_ties_of_examples_go_to_the_smaller_id():
+    ids, one = [9, 4, 7, 1, 30, 2], np.zeros(1, np.int64)
+    index = toxicity.Examples(ids * 40, [0] * 240, [(one, np.array([1.0 + n % 3])) for n in range(240)], np.array([1.7]))
+    found, near = index.nearest(one, np.ones(1), 45, skip=1)
+    assert index.ids[found].tolist() == [2] * 40 + [4] * 5 and set(near) == {1.0}
+
+
 def plain_contamination(documents, benchmark, n=10):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))

@@ -107,10 +107,17 @@ class Examples:
         vectors = [self.vector(*row) for row in rows]
         # Examples with the same heaviest term stand together, so that block maxima are tight.
         lead = [int(t[np.argmax(w)]) if len(t) else len(idf) for t, w in vectors]
-        order = np.lexsort((np.array(ids, dtype=np.int64), np.array(lead, dtype=np.int64)))
-        self.ids = np.array(ids, dtype=np.int64)[order]
+        # Examples with equal vectors are one entry of the index.
+        alike: dict[tuple[bytes, bytes], int] = {}
+        group = [alike.setdefault((t.tobytes(), w.round(12).tobytes()), len(alike)) for t, w in vectors]
+        ids, group = np.array(ids, dtype=np.int64), np.array(group, dtype=np.int64)
+        order = np.lexsort((ids, group, np.array(lead, dtype=np.int64)))
+        self.ids = ids[order]
         self.labels = np.array(labels, dtype=np.float64)[order]
-        vectors = [vectors[n] for n in order]
+        none = np.array([not len(vectors[n][0]) for n in order], dtype=bool)
+        firsts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        self.firsts = np.append(firsts, len(order))
+        vectors = [vectors[n] for n in order[firsts]]
         sizes = [len(t) for t, _ in vectors]
         terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
         weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
@@ -123,7 +130,6 @@ class Examples:
         # Where the postings of a term in a block begin; they end where the next begin.
         keys = terms[by_term] * self.blocks + self.owner // BLOCK
         self.starts = np.searchsorted(keys, np.arange(len(idf) * self.blocks + 1))
-        none = np.array(sizes) == 0 if sizes else np.zeros(0, bool)
         self.empty_vote = (self.labels[none].sum() + 0.5) / (none.sum() + 1.0)
         self.middle = (self.labels.sum() + 0.5) / (len(self.labels) + 1.0)
 
@@ -152,14 +158,21 @@ class Examples:
                     scores[self.owner[a:b] - low] += weight * self.weights[a:b]
             scores = scores.round(12)  # equal vectors may differ in the last bit
             if skip is not None:
-                scores[np.flatnonzero(self.ids[low : low + BLOCK] == skip)] = 0
+                firsts = self.firsts[low : low + BLOCK + 1]
+                others = self.ids[firsts[0] : firsts[-1]] != skip
+                scores[: len(firsts) - 1] *= np.logical_or.reduceat(others, firsts[:-1] - firsts[0])
             hit = np.flatnonzero((scores > 0) & (scores >= (cosines[-1] if len(found) == k else 0)))
             if not len(hit):
                 continue
             found, cosines = np.concatenate([found, hit + low]), np.concatenate([cosines, scores[hit]])
-            best = np.lexsort((self.ids[found], -cosines))[:k]
+            best = np.lexsort((self.ids[self.firsts[found]], -cosines))[:k]
             found, cosines = found[best], cosines[best]
-        return found, cosines
+        members = [np.arange(self.firsts[v], self.firsts[v + 1]) for v in found]
+        members = [(m if skip is None else m[self.ids[m] != skip])[:k] for m in members]
+        cosines = np.repeat(cosines, [len(m) for m in members])
+        found = np.concatenate([found[:0], *members])
+        best = np.lexsort((self.ids[found], -cosines))[:k]
+        return found[best], cosines[best]
 
     def vote(
         self, terms: np.ndarray, counts: np.ndarray, k: int, own_id: int | None = None

@@ -239,7 +239,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_
     index = Examples([r.doc_id for r in held], [r.label for r in held], [_arrays(r.terms, r.counts) for r in held], idf)
     shared, curve = spark.sparkContext.broadcast(index), Curve()
     if held:
-        alone = examples.mapInArrow(_left_out(shared, k), "vote double, label int").toArrow()
+        dealt = examples.repartition(spark.sparkContext.defaultParallelism)  # few bytes, much work
+        alone = dealt.mapInArrow(_left_out(shared, k), "vote double, label int").toArrow()
         curve = Curve.fitted(np.asarray(alone["vote"]), np.asarray(alone["label"], dtype=float))
     return rows.mapInArrow(
         _scored(shared, curve, k), "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>"

@@ -10,9 +10,12 @@ join fingerprints that differ in at most three bits.  Work is done on distinct f
   reference differ by more than three can't be linked.  Rows are sorted by the first distance, so
   that only a short stretch is looked at; the other columns of the table discard most of it; what
   survives is verified bit by bit.
-* A group of more than ``GROUP_ROWS`` is cut into chunks by a hash, and each pair of chunks is a unit
-  of its own, so no task holds a large group.  A unit gives at most one link for each row, to the
-  smallest fingerprint that it is connected with there: as good for components as all its pairs.
+* A group of more than ``GROUP_ROWS`` is split again: the bits in which its fingerprints differ at all
+  are dealt into four parts, and three differing bits leave one of them untouched, so linked
+  fingerprints meet again in one of the four groupings by a part.  Every level has fewer such bits,
+  so groups end below ``GROUP_ROWS`` without a pair being lost, and no task holds a large group.  A
+  group gives at most one link for each row, to the smallest fingerprint that it is connected with
+  there: as good for components as all its pairs.
 
 Components come from ``components``; their id is the smallest doc_id of all their documents.
 
@@ -25,6 +28,7 @@ null id.  Whole texts are read; only ``doc_id`` and ``text`` of the table.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -110,32 +114,53 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
 
 def close_pairs(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``bits, root``: links among distinct fingerprints, with the components of all close pairs."""
+    """``bits, root``: links among distinct fingerprints, with the components of all close pairs.
+
+    ``group_rows`` is at least 8: so many fingerprints differ in four bits or more.
+    """
     bits = F.col("bits")
     keys = []
     for pair in combinations(BLOCKS, 2):
         mask = sum(((1 << high) - 1) ^ ((1 << low) - 1) for low, high in pair)
         signed = mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
         keys.append(bits.bitwiseAND(F.lit(signed)))
-    banded = prints.select("bits", F.posexplode(F.array(*keys)).alias("band", "key"))
-    crowd = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    crowd = stored(crowd, "crowds")
-    met = banded.join(crowd, ["band", "key"])
-    chunks = F.ceil(F.col("n") / group_rows).cast("int")
-    met = met.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("bits"), "chunks").cast("int"))
-    units = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    unit = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
-    units = units.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "bits", unit.alias("unit"))
-    dealt = units.repartition("unit").sortWithinPartitions("unit", "band", "key", "i", "j")
+    met = prints.select("bits", F.posexplode(F.array(*keys)).alias("band", "key"))
+    met = met.select("bits", F.xxhash64("band", "key").alias("crowd"))
+    small = []
+    while True:
+        # Crowds are told apart by a hash; two with the same one would be compared in vain, no more.
+        apart = F.bit_or("bits").bitwiseXOR(F.bit_and("bits"))
+        crowds = met.groupBy("crowd").agg(F.count("*").alias("n"), apart.alias("apart")).where("n > 1")
+        crowds = crowds.select("crowd", F.when(F.col("n") > group_rows, _parts(F.col("apart"))).alias("parts"))
+        met = stored(met.join(crowds, "crowd"), "crowds")
+        small.append(met.where("parts is null").select("crowd", "bits"))
+        large = met.where("parts is not null")
+        if large.isEmpty():
+            break
+        split = large.select("crowd", "bits", F.posexplode("parts").alias("part", "mask"))
+        met = split.select("bits", F.xxhash64("crowd", "part", bits.bitwiseAND(F.col("mask"))).alias("crowd"))
+    dealt = reduce(DataFrame.unionByName, small).repartition("crowd").sortWithinPartitions("crowd")
     return dealt.mapInArrow(_linked_units, "bits long, root long")
 
 
+def _parts(mask: Column) -> Column:
+    """The set bits of a mask dealt into as many masks as leave one without a differing bit."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda at: F.getbit(mask, at) == 1)
+    ones = F.transform(places, lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at))
+
+    def part(n: int) -> Column:
+        own = F.filter(ones, lambda one, at: F.pmod(at, F.lit(APART + 1)) == n)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda all_, one: all_.bitwiseOR(one))
+
+    return F.array(*(part(n) for n in range(APART + 1)))
+
+
 def _linked_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of whole units, so that a unit is never cut."""
+    """Stretches of whole crowds, so that a crowd is never cut."""
     kept: list[np.ndarray] = []
     rows = 0
     for batch in batches:
-        table = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("band", "key", "i", "j", "bits")])
+        table = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("crowd", "bits")])
         kept.append(table)
         rows += len(table)
         if rows >= STRETCH_ROWS:
@@ -150,14 +175,14 @@ def _linked_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _starts(table: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((table[1:, :4] != table[:-1, :4]).any(axis=1)) + 1
+    return np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1
 
 
 def _links(table: np.ndarray) -> pa.RecordBatch:
     unit = np.zeros(len(table), np.int64)
     unit[_starts(table)] = 1
     unit = np.cumsum(unit)
-    prints = table[:, 4].view(np.uint64) if table[:, 4].flags.c_contiguous else np.ascontiguousarray(table[:, 4]).view(np.uint64)
+    prints = np.ascontiguousarray(table[:, 1]).view(np.uint64)
     pivots = np.bitwise_count(prints[:, None] ^ references()[None, :]).astype(np.int8)
     order = np.lexsort((prints, pivots[:, 0], unit))
     unit, prints, pivots = unit[order], prints[order], pivots[order]

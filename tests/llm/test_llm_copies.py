@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pagemill.llm import components, repeats, simhash, suffix_sort
 
@@ -77,6 +78,40 @@ def test_large_group_in_chunks(spark):
     assert sorted(map(sorted, by_group.values())) == sorted(map(sorted, by_root.values()))
 
 
+def test_one_crowd_is_split_without_losing_links(spark):
+    """Fingerprints that agree on three blocks of five and fill the rest: same links as all pairs, and no
+    group of two blocks is compared whole."""
+    rng = random.Random(16)
+    base = rng.getrandbits(64)
+    ordered = sorted({base ^ rng.getrandbits(25) for _ in range(1_500)} | {base ^ (1 << b) for b in range(25)} | {base})
+    table = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in ordered], "bits long")
+    links = simhash.close_pairs(table, group_rows=32)
+    roots = {r.node: r.root for r in components.connected_components(links.toDF("a", "b")).collect()}
+    prints = np.array(ordered, dtype=np.uint64)
+    close = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+    own = np.arange(len(prints))
+    while not np.array_equal(own, lower := np.where(close, own[None, :], len(own)).min(axis=1)):
+        own = lower
+    want, got = {}, {}
+    for p, g in zip(prints.view(np.int64).tolist(), own.tolist(), strict=True):
+        want.setdefault(g, set()).add(p)
+        got.setdefault(roots.get(p, p), set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 1 < len(want) < len(prints)
+
+
+def test_parts_of_a_mask(spark):
+    masks = [0, 1, -1, -(1 << 63), 0b1011, (1 << 40) - 1]
+    found = spark.createDataFrame([(m,) for m in masks], "mask long").select("mask", simhash._parts(F.col("mask")).alias("parts")).collect()
+    for r in found:
+        seen = 0
+        for part in r.parts:
+            assert not seen & part
+            seen |= part
+        assert seen == r.mask and len(r.parts) == 4
+        assert max(p.bit_count() for p in (x % (1 << 64) for x in r.parts)) == -(-(r.mask % (1 << 64)).bit_count() // 4)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (7, 3), (3, 7)]
     got = components.connected_components(spark.createDataFrame(links, "a long, b long"))

@@ -155,6 +155,8 @@ def _counted(lang: str, texts: list[bytes], max_words: int, now: dict | None, be
         yield from rows(1, known.take(pa.array(used)), counts[used])
     # at[i]: the number of the phrase that begins at word i, -1 where there is none or it can't matter.
     at, names, own = np.where(real, ids, -1), known, hashes
+    # done[i]: an earlier pass counted phrase i.  A false positive of ``before`` alone doesn't say so.
+    done = np.full(len(known), before is not None)
     for length in range(2, max_words + 1):
         passes = np.ones(len(own), bool) if now is None else _holds(now[length - 1], own)
         last = ids[length - 1 :]
@@ -166,9 +168,10 @@ def _counted(lang: str, texts: list[bytes], max_words: int, now: dict | None, be
             return
         new = np.ones(len(code), bool)
         if before is not None:
-            old, place = _holds(before[length - 1], own), np.empty(len(code), np.int64)
+            old, place = done & _holds(before[length - 1], own), np.empty(len(code), np.int64)
             place[number] = ok
             new = ~(old[left[place]] & old[right[place]])
+        done = ~new
         at = np.full(len(last), -1, np.int64)
         at[ok] = number
         heads, tails = code // len(known), code % len(known)

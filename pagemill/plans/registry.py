@@ -502,13 +502,10 @@ def html_files(spark, d):
 @query
 def payload_files(spark, d):
     """Every payload written as a file of its own, read back and parsed."""
-    path = new_folder(spark, "payloads")
-    bodies = fx.json_payloads(spark, d).select(F.col("payload_id").alias("payload"), "body")
-    bodies.repartition("payload").write.partitionBy("payload").text(path)
-    back = readers.read_json_payloads(spark, f"{path}/*/*.txt")
-    return payloads.items_from_json(back, "data.items[*]").select(
-        F.regexp_extract("source", "/payload=([0-9]+)/", 1).cast("bigint").alias("payload_id"), "index", "title", "price"
-    )
+    sources = writers.write_payload_files(fx.json_payloads(spark, d), new_folder(spark, "payloads"), "payload_id")
+    back = readers.read_payload_files(sources)
+    payload_id = F.regexp_extract("source", "-payload_id=(-?[0-9]*)[.]json$", 1).try_cast("bigint").alias("payload_id")
+    return payloads.items_from_json(back, "data.items[*]").select(payload_id, "index", "title", "price")
 
 
 @query

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+READ_BYTES = 4 << 20  # of files that a task hands on at a time
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores when a scan gives fewer splits than there are cores.
@@ -40,6 +45,31 @@ def read_json_payloads(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("body"))
 
 
+def read_payload_files(sources: DataFrame) -> DataFrame:
+    """``source, body`` of the files that ``write_payload_files`` wrote; tasks open them by name and nothing is listed."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots, names, data, size = {}, [], [], 0
+        for batch in batches:
+            for name in batch.column("source").to_pylist():
+                root, folder, file = name.rsplit("/", 2)
+                if root not in roots:
+                    roots[root] = fs.FileSystem.from_uri(root)
+                system, plain = roots[root]
+                with system.open_input_stream(f"{plain}/{folder}/{file}", compression=None) as opened:
+                    data.append(opened.read())
+                names.append(name)
+                size += len(data[-1])
+                if size >= READ_BYTES:
+                    yield pa.record_batch({"source": names, "body": pa.array(data, pa.binary())})
+                    names, data, size = [], [], 0
+        if names:
+            yield pa.record_batch({"source": names, "body": pa.array(data, pa.binary())})
+
+    files = spread(sources.select("source")).mapInArrow(read, "source string, body binary")
+    return files.withColumn("body", F.col("body").cast("string"))
+
+
 def parsed_payloads(payloads: DataFrame) -> DataFrame:
     """``source, body`` with the body as VARIANT; payloads that are no JSON are left out."""
     parsed = payloads.select("source", F.try_parse_json("body").alias("body"))

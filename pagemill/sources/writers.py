@@ -4,7 +4,12 @@ URI that Spark can write to will do, an object store included."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +17,11 @@ from ..operators.dedupe import with_fingerprint
 from ..operators.pages import family
 from ..operators.records import table_cells
 from ..schemas import SCHEMA_VERSION
-from ..session import new_folder
+from ..session import new_folder, stored
 from . import sink
 
 FORMATS = ["csv", "json", "jsonl", "tables"]
+FOLDER_FILES = 1_000
 MANIFEST_FILE = "file string, bytes bigint"
 RENAMED = {
     "page_id": "page", "index": "idx", "check": "check_name", "where": "where_clause", "when": "when_ts",
@@ -38,6 +44,32 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def write_payload_files(payloads: DataFrame, path: str, key: str, body: str = "body") -> DataFrame:
+    """A file for each payload, named ``key=value.json`` with what stands under its key, and ``source`` of all of them.
+
+    Tasks write the files, ``FOLDER_FILES`` to a folder at most, so their number costs the driver nothing; repeated keys
+    have a file each. What a failed task leaves is not among the sources. Null bodies are empty files."""
+    folder = path.rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        own = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        system, plain = fs.FileSystem.from_uri(own)
+        for batch in batches:
+            names = [quote(k or "", safe="") for k in batch.column("key").to_pylist()]
+            files = [f"{i // FOLDER_FILES:04d}/{i:08d}-{quote(key)}={k}.json" for i, k in enumerate(names, n)]
+            for i, (file, data) in enumerate(zip(files, batch.column("body").to_pylist(), strict=True), n):
+                if i % FOLDER_FILES == 0:
+                    system.create_dir(f"{plain}/{file.partition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{plain}/{file}", compression=None) as out:
+                    out.write(data or b"")
+            n += batch.num_rows
+            yield pa.record_batch({"source": [f"{own}/{f}" for f in files]})
+
+    rows = payloads.select(F.col(key).cast("string").alias("key"), F.col(body).cast("binary").alias("body"))
+    return stored(rows.mapInArrow(write, "source string"), "sources")
+
+
 def run_documents(extracted: DataFrame) -> DataFrame:
     """One JSON document per page with all its families; a document never grows past its page."""
     parts = [F.col(c) for c in ("items", "links", "images", "headings", "issues", "tables")]

@@ -43,6 +43,23 @@ def test_payload_files(spark, tmp_path):
     assert readers.parsed_payloads(payloads).count() == 1
 
 
+def test_payloads_as_files_of_their_own(spark, tmp_path, monkeypatch):
+    """Folders don't grow with the files one by one, and every row has its file: repeated and missing keys too."""
+    monkeypatch.setattr(writers, "FOLDER_FILES", 50)
+    rows = [(n % 290, f'{{"n":\n{n}}}') for n in range(300)] + [(None, '{"é": 1}'), (-7, None), (5, "")]
+    table = spark.createDataFrame(rows, "id long, body string").repartition(3)
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        sources = writers.write_payload_files(table, folder, "id")
+        written = [p for p in (tmp_path / folder[-1]).rglob("*") if not p.name.endswith(".crc")]
+        assert sum(p.is_file() for p in written) == sources.distinct().count() == len(rows)
+        assert sum(p.is_dir() for p in written) <= 3 + 9
+        back = readers.read_payload_files(sources)
+        found = [(int(k) if (k := r.source.rpartition("-id=")[2].removesuffix(".json")) else None, r.body) for r in back.collect()]
+        assert sorted(found, key=repr) == sorted(((k, b or "") for k, b in rows), key=repr)
+    names = spark.createDataFrame([("a/../b %2F é", "1")], "k string, body string")
+    assert readers.read_payload_files(writers.write_payload_files(names, f"file://{tmp_path}/c", "k")).first().body == "1"
+
+
 def test_exports(spark, run, tmp_path):
     meta = summary.run_meta(run, preset="none")
     out = str(tmp_path / "out")

@@ -8,8 +8,10 @@ touches ids, and one of a few documents only their pages.  A document's start in
 its start in the file and the ids of the files before, one number for each file.
 
 The ids are the ``tokenizers`` library's.  Words don't go over spaces or line ends, which that
-tokenizer drops, so a task has the library encode each different space-separated chunk once while it
-remembers it, without the mark that ends it, and puts texts together from these.
+tokenizer drops, nor over a letter and marks, so a task cuts texts there, some megabytes at a time, has
+the library encode each different chunk once while it remembers it, and puts texts together from these.
+Words of Latin-1 letters alone go to the library's model without its normalizer and patterns, which
+leave such a word in small letters as it is.
 
 Defined results: a null text is empty, and has the end id alone.  Rows with equal doc_id are each
 written, in the order of a hash of their texts; rows without doc_id come first.  An empty table gives
@@ -19,20 +21,32 @@ no rows.  Texts are encoded whole.  Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .vocabulary import byte_symbols
+
 END_ID = 2
 KEPT_CHUNKS = 500_000
 KEPT_CHARS = 64
-MARKS = ".,;:!?"
+#: Letters of Latin-1: a run of them is one word of the tokenizer's pattern, a run of ASCII marks that ends a chunk another.
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+LETTERS = re.compile(f"[{LATIN}]+")
+ENDED = rf"([{LATIN}])([!-/:-@\[-`{{-~]+)( |$)"
+#: The bytes of the others of them as the tokenizer writes them.
+SYMBOLS = {n: "".join(byte_symbols()[b] for b in chr(n).encode()) for n in range(0xA0, 0x100)}
+WORD_END = "</w>"
+WORDS_AT_ONCE = 2_000
+TEXT_BYTES = 4 << 20  # of texts that are encoded at a time, if these are more than one
 WRITTEN = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 LAYOUT = {
     "compression": "zstd",
@@ -51,52 +65,87 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = {m: self._ids(m) for m in ["", *MARKS]}
+        # The file's model alone, for words that are cut and in small letters already.
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of small Latin-1 letters, encoded as one text: the last id of each says that it ends a word."""
+        text = " ".join([w.lower() if w.isascii() else w.lower().translate(SYMBOLS) for w in words])
+        found = self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype="<u4")
+        ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+        if len(ends) != len(words):  # a tokenizer that doesn't mark where words end
+            return self._encoded(words)
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and how many each has.  A different chunk is looked up once."""
+        spaced = pc.replace_substring(texts, "\n", " ")
+        plain = pc.replace_substring_regex(pc.ascii_lower(spaced), ENDED, r"\1 \2\3")
+        # Special tokens hold marks, and are found before letters are made small.
+        chunks = pc.split_pattern(pc.if_else(pc.match_substring(spaced, "<|"), spaced, plain), " ")
+        coded = chunks.flatten().dictionary_encode()
+        codes, known = coded.indices.to_numpy(), self.chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), dtype="<u4")
+        own = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat(starts[codes] - ends[:-1], own) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], np.cumsum(chunks.value_lengths().to_numpy())])
+        return ids, np.diff(ends[bounds])
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
         parts = list(map(self.young.get, chunks))
-        if None in parts:
-            made = self.find({c for c, p in zip(chunks, parts, strict=True) if p is None})
-            parts = [made[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
-        return b"".join(parts)
+        missing = [n for n, p in enumerate(parts) if p is None]
+        if missing:
+            made = self.find({chunks[n] for n in missing})
+            for n in missing:
+                parts[n] = made[chunks[n]]
+        return parts
 
     def find(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not in ``young``."""
         if len(self.young) >= KEPT_CHUNKS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        made = {c: old[c] for c in missing if c in old}
-        stems = {c: _stem(c) for c in missing if c not in made}
-        known = {s: young.get(s) or old.get(s) for s, _ in stems.values()}
-        fresh = [s for s, p in known.items() if p is None]
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        known.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(fresh, found, strict=True))
-        made.update((c, known[s] + self.ends[end]) for c, (s, end) in stems.items())
-        young.update((c, p) for some in (known, made) for c, p in some.items() if len(c) <= KEPT_CHARS)
+        made, words, rest = {}, [], []
+        for chunk in missing:
+            found = old.get(chunk)
+            if found is not None:
+                made[chunk] = found
+            else:
+                (words if LETTERS.fullmatch(chunk) else rest).append(chunk)
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words[start : start + WORDS_AT_ONCE]
+            made.update(zip(some, self._words(some), strict=True))
+        made.update(zip(rest, self._encoded(rest), strict=True))
+        young.update(made if max(map(len, made)) <= KEPT_CHARS else {c: p for c, p in made.items() if len(c) <= KEPT_CHARS})
         return made
 
 
-def _stem(chunk: str) -> tuple[str, str]:
-    """A chunk without the mark that ends it after a letter, in small letters if it is ASCII, and that
-    mark: the tokenizer makes letters small and never joins a letter and a mark."""
-    end = ""
-    if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2] < "\u0250" and chunk[-2].lower().isalpha():
-        chunk, end = chunk[:-1], chunk[-1]
-    # A special token is found before letters are made small.
-    return (chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk), end
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -113,21 +162,31 @@ def write_token_ids(
     written.write.options(**LAYOUT, **ENCODINGS[encoding]).parquet(folder)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of ``TEXT_BYTES`` or little more, and of a text at least."""
+    before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])
+    start = 0
+    while start < len(texts):
+        stop = min(int(np.searchsorted(before, before[start] + TEXT_BYTES)), len(texts))
+        yield start, stop
+        start = stop
+
+
 def _encoded(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        encode, end = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(tokenizer).encode_all
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                some = batch.slice(start, 1000)
-                rows = [encode(t.as_py() or "") + end for t in some.column("text")]
-                sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
+            texts = pc.fill_null(batch.column("text"), "")
+            for start, stop in _slices(texts):
+                ids, sizes = encode(texts.slice(start, stop - start))
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(np.int32)
+                sizes = sizes + 1
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                ids = np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column("doc_id"),
-                        pa.array(np.full(len(rows), part, np.int32)),
+                        batch.column("doc_id").slice(start, stop - start),
+                        pa.array(np.full(len(sizes), part, np.int32)),
                         pa.array(at + ends[:-1]),
                         pa.array(sizes.astype(np.int32)),
                         pa.ListArray.from_arrays(ends.astype(np.int32), ids),

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -93,6 +94,25 @@ def test_word_ids_as_library():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_go_to_the_model_alone(monkeypatch):
+    """The library encodes plain words as one text, not each by itself; what they are put together to is the same."""
+    library, encoder = Tokenizer.from_file(WORD_BPE), token_files.Encoder(WORD_BPE)
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 2_000)
+    rng, asked = random.Random(7), []
+    encoded = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda texts: asked.extend(texts) or encoded(texts))
+    letters = [chr(n) for n in range(0x250) if chr(n).isalpha()]
+    words = ["".join(rng.choices(letters[:52] + letters[52:117] * (n % 3), k=n % 9 + 1)) for n in range(900)]
+    words = [w + rng.choice(["", "", ".", ",###", "'", "|>", "\\^`~", "\n"]) for w in words]
+    texts = [" ".join(rng.choices(words, k=90)) for _ in range(60)] + ["", " ", *letters, "A.<|EndOfText|>. <|endoftext|>. a<| b"]
+    rows = pa.array(texts)
+    parts = [encoder.encode_all(rows.slice(a, b - a)) for a, b in token_files._slices(rows)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(parts) > 5 and [n for _, sizes in parts for n in sizes] == [len(w) for w in want]
+    assert [i for ids, _ in parts for i in ids] == [i for w in want for i in w]
+    assert len(asked) < 400 < len(set(words))
+
+
 def test_empty_tables(spark, none, tmp_path):
     assert bpe.encode_documents(none, BYTE_BPE).count() == 0
     assert token_counts.count_tokens(none, BYTE_BPE).count() == 0

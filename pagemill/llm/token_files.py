@@ -46,7 +46,7 @@ ENDED = rf"([{LATIN}])([!-/:-@\[-`{{-~]+)( |$)"
 SYMBOLS = {n: "".join(byte_symbols()[b] for b in chr(n).encode()) for n in range(0xA0, 0x100)}
 WORD_END = "</w>"
 WORDS_AT_ONCE = 2_000
-TEXT_BYTES = 4 << 20  # of texts that are encoded at a time, if these are more than one
+TEXT_BYTES = 1 << 20  # of texts that are encoded at a time, if these are more than one
 WRITTEN = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 LAYOUT = {
     "compression": "zstd",
@@ -65,16 +65,13 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # The file's model alone, for words that are cut and in small letters already.
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.model.normalizer = normalizers.Sequence([])
+        # The same model without the rest, for words that are cut and in small letters already.
+        self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)

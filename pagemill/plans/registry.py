@@ -490,13 +490,10 @@ def pushed_rows(spark, d):
 @query
 def html_files(spark, d):
     """Every page written as a file of its own and read back by its path."""
-    path = new_folder(spark, "html")
-    pages = fx.pages(spark, d).select(F.col("page_id").alias("page"), "html")
-    pages.repartition("page").write.partitionBy("page").text(path)
-    back = readers.read_html_files(spark, f"{path}/*/*.txt")
-    page = F.regexp_extract("url", "/page=([0-9]+)/", 1).cast("bigint").alias("page_id")
-    header = rows.page_header(back).join(back.select("page_id", "url"), "page_id")
-    return header.select(page, "title", "lang")
+    sources = writers.write_html_files(fx.pages(spark, d), new_folder(spark, "html"), "page_id")
+    back = readers.read_html_files(spark, sources)
+    page_id = F.regexp_extract("url", "-page_id=(-?[0-9]*)[.]html$", 1).try_cast("bigint")
+    return rows.page_header(back.withColumn("page_id", page_id)).select("page_id", "title", "lang")
 
 
 @query

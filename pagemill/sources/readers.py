@@ -27,9 +27,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.parquet(path).select("page_id", "url", "html"))
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Local HTML files, one page per file; the URL is the file's URI, and the id a hash of it."""
-    files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
+def read_html_files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Local HTML files, one page per file; the URL is the file's URI, and the id a hash of it.
+
+    Spark lists a path on the driver and opens a few files in each task.  A table of names (``source``), as
+    ``write_html_files`` gives it, is dealt over the tasks, which open the files by those names."""
+    if isinstance(path, DataFrame):
+        named = F.regexp_replace("source", "%(?=[^/]*$)", "%25").alias("file_path")
+        files = read_payload_files(path).select(F.col("body").alias("value"), named)
+    else:
+        files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
     url = F.regexp_replace("file_path", "^file:/+", "file:///")
     return files.select(
         F.xxhash64(url).alias("page_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -44,7 +45,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def write_payload_files(payloads: DataFrame, path: str, key: str, body: str = "body") -> DataFrame:
+def write_payload_files(payloads: DataFrame, path: str, key: str, body: str = "body", kind: str = "json") -> DataFrame:
     """A file for each payload, named ``key=value.json`` with what stands under its key, and ``source`` of all of them.
 
     Tasks write the files, ``FOLDER_FILES`` to a folder at most, so their number costs the driver nothing; repeated keys
@@ -57,7 +58,7 @@ def write_payload_files(payloads: DataFrame, path: str, key: str, body: str = "b
         system, plain = fs.FileSystem.from_uri(own)
         for batch in batches:
             names = [quote(k or "", safe="") for k in batch.column("key").to_pylist()]
-            files = [f"{i // FOLDER_FILES:04d}/{i:08d}-{quote(key)}={k}.json" for i, k in enumerate(names, n)]
+            files = [f"{i // FOLDER_FILES:04d}/{i:08d}-{quote(key)}={k}.{kind}" for i, k in enumerate(names, n)]
             for i, (file, data) in enumerate(zip(files, batch.column("body").to_pylist(), strict=True), n):
                 if i % FOLDER_FILES == 0:
                     system.create_dir(f"{plain}/{file.partition('/')[0]}", recursive=True)
@@ -70,6 +71,21 @@ def write_payload_files(payloads: DataFrame, path: str, key: str, body: str = "b
     return stored(rows.mapInArrow(write, "source string"), "sources")
 
 
+def write_html_files(pages: DataFrame, path: str, key: str, html: str = "html") -> DataFrame:
+    """A file for each page, named ``key=value.html``, and ``source`` of all of them, as ``write_payload_files`` does it.
+
+    Each text ends its line. Texts under one key are one file; texts without a key have a file each. Tasks write the
+    pages that they read: there is a shuffle only where some key comes twice."""
+    text = F.concat(F.coalesce(F.col(html), F.lit("")), F.lit("\n")).alias("body")
+    texts, known = pages.select(F.col(key), text), F.col(key).isNotNull()
+    if not texts.where(known).groupBy(key).count().where("count > 1").isEmpty():
+        whole = F.array_join(F.array_sort(F.collect_list("body")), "").alias("body")
+        together = texts.where(known).repartition(key).groupBy(key).agg(whole)
+        texts = together.unionByName(texts.where(~known))
+    folder = path if ":/" in path else Path(path).absolute().as_uri()
+    return write_payload_files(texts, folder, key, kind="html")
+
+
 def run_documents(extracted: DataFrame) -> DataFrame:
     """One JSON document per page with all its families; a document never grows past its page."""
     parts = [F.col(c) for c in ("items", "links", "images", "headings", "issues", "tables")]

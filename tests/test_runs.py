@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pagemill.operators import dedupe, guarded, incremental, records, rows, summary
 from pagemill.operators import pages as whole
+from pagemill.plans import registry
 from pagemill.sources import readers, sink, writers
 from pagemill.streaming import live
 
@@ -60,6 +61,31 @@ def test_payloads_as_files_of_their_own(spark, tmp_path, monkeypatch):
     assert readers.read_payload_files(writers.write_payload_files(names, f"file://{tmp_path}/c", "k")).first().body == "1"
 
 
+def test_pages_as_files_of_their_own(spark, tmp_path, monkeypatch):
+    """Folders don't grow with the pages, texts of one page are one file, and pages without an id come back without one."""
+    monkeypatch.setattr(writers, "FOLDER_FILES", 50)
+    html = "<html lang=en><title>{}</title>é"
+    rows = [(n, html.format(n)) for n in range(300)] + [(-7, html.format("below")), (400, None), (401, ""), (402, html)]
+    more = [(5, html.format(5)), (6, html.format("a 6"))] + [(None, html.format(c)) for c in "ab"]
+    headers = [(n, str(n), "en") for n in range(300)] + [(-7, "below", "en"), (400, "", ""), (401, "", ""), (402, "{}", "en")]
+    for n, (table, expected) in enumerate([(rows, headers), (rows + more, headers + [(None, c, "en") for c in "ab"])]):
+        found, out = f"{tmp_path}/{n}", tmp_path / f"out {n}"
+        pages = [(page_id, f"https://a.example/{page_id}", text) for page_id, text in table]
+        spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{found}/pages.parquet")
+        monkeypatch.setattr(registry, "new_folder", lambda spark, name, out=out: str(out))
+        result = [tuple(r) for r in entry.queries()["html_files"](spark, found).collect()]
+        assert sorted(result, key=repr) == sorted(expected, key=repr)
+        written = [p for p in out.rglob("*") if not p.name.endswith(".crc")]
+        assert sum(p.is_file() for p in written) == len(expected)
+        assert sum(p.is_dir() for p in written) <= 5 * 4 + 300 / 50
+    names = [("a/../b %2F é", "1"), ("x", "2\r\n"), ("x", "<p>"), ("(q)", None), (None, html), (None, html)]
+    named = writers.write_html_files(spark.createDataFrame(names, "k string, html string"), f"{tmp_path}/b %20c", "k")
+    back = readers.read_html_files(spark, named).collect()
+    assert sorted(r.html for r in back) == sorted(["1\n", "2\r\n\n<p>\n", "\n", html + "\n", html + "\n"])
+    by_path = readers.read_html_files(spark, f"{tmp_path}/b %20c/*/*/*.html").collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, by_path))
+
+
 def test_exports(spark, run, tmp_path):
     meta = summary.run_meta(run, preset="none")
     out = str(tmp_path / "out")

@@ -74,8 +74,8 @@ def write_payload_files(payloads: DataFrame, path: str, key: str, body: str = "b
 def write_html_files(pages: DataFrame, path: str, key: str, html: str = "html") -> DataFrame:
     """A file for each page, named ``key=value.html``, and ``source`` of all of them, as ``write_payload_files`` does it.
 
-    Each text ends its line. Texts under one key are one file; texts without a key have a file each. Tasks write the
-    pages that they read: there is a shuffle only where some key comes twice."""
+    Each text ends its line. Texts under one key are one file; texts without a key have a file each. Keys are
+    counted first; tasks then write the pages that they read, and there is a shuffle only where some key comes twice."""
     text = F.concat(F.coalesce(F.col(html), F.lit("")), F.lit("\n")).alias("body")
     texts, known = pages.select(F.col(key), text), F.col(key).isNotNull()
     if not texts.where(known).groupBy(key).count().where("count > 1").isEmpty():
